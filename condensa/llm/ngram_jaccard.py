@@ -55,8 +55,8 @@ def prefix_len(n: int, percent: int) -> int:
 
 def parity_bits(s: np.ndarray) -> bytes:
     """Bitmap of the parity of hashed members; XOR counts at most the symmetric difference."""
-    width = 64
-    while width < 2 * len(s) and width < 8192:
+    width = 128
+    while 4 * width < 3 * len(s) and width < 16384:
         width *= 2
     odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
@@ -188,7 +188,7 @@ def _group_edges(percent: int):
 
     def run(batches):
         for pdf in sorted_groups(batches, "g"):
-            codes, keys = pd.factorize(pdf["k"])
+            codes, keys = pd.factorize(pdf["r"].to_numpy())
             first = np.unique(codes, return_index=True)[1]
             maps = _Bitmaps(pdf["n"].to_numpy()[first], [pdf["bits"].iloc[i] for i in first], percent)
             g = pdf["g"].to_numpy()
@@ -311,10 +311,10 @@ def _cell_edges(width: int, percent: int):
     return run
 
 
-def _in_blocks(df: DataFrame, group, members: str) -> DataFrame:
+def _in_blocks(df: DataFrame, group: str, members: str, key: str) -> DataFrame:
     """Add g: the group itself, or for a group over BLOCK members each pair of blocks that a row is in."""
     n = F.ceil(F.col(members) / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("k"), n).cast("int")
+    mine = F.pmod(F.xxhash64(key), n).cast("int")
     others = F.filter(F.sequence(F.lit(0), n - 1), lambda x: x != mine)
     pairs = F.when(n <= 1, F.array(F.lit("0"))).otherwise(F.transform(others, lambda x: F.concat_ws("-", F.least(x, mine), F.greatest(x, mine))))
     return df.withColumn("pair", F.explode(pairs)).withColumn("g", F.xxhash64(group, "pair"))
@@ -328,18 +328,20 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     rows = durable(docs.mapInPandas(_describe(width, percent, heavy), "doc_id long, n int, k string, prefix array<long>, bits binary"), "jaccard-rows")
     full = rows.where("n > 0")
     reps = durable(full.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "jaccard-reps")
-    post = reps.select(F.explode("prefix").alias("token"), F.unhex("k").alias("kb"))
-    tokens = post.groupBy("token").agg(F.count("*").alias("v"), F.sum(F.xxhash64("kb").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("kb", F.lit(7))).alias("x")).where("v > 1")
-    kept = durable(tokens.groupBy("v", "s", "x").agg(F.min("token").alias("token")).select("token", "v"), "jaccard-tokens")
-    members = sized_join(post, kept, "token", "inner", 40).select("token", "v", F.lower(F.hex("kb")).alias("k"))
-    shipped = _in_blocks(members.join(reps.select("k", "n", "bits"), "k"), "token", "v").select("g", "k", "n", "bits")
-    close = shipped.repartition("g").sortWithinPartitions("g").mapInPandas(_group_edges(percent), "a string, b string")
-    cells = components(close).withColumnRenamed("node", "k").withColumnRenamed("root", "cell")
-    cells = cells.unionByName(cells.select(F.col("cell").alias("k"), "cell").distinct())
+    # up to the exact search a set goes by 64 bits of its key: a clash joins two cells, no more
+    reps_r = reps.withColumn("r", F.xxhash64("k"))
+    post = reps_r.select(F.explode("prefix").alias("token"), "r")
+    tokens = post.groupBy("token").agg(F.count("*").cast("int").alias("v"), F.bit_xor("r").alias("x"), F.bit_xor(F.xxhash64("r")).alias("y")).where("v > 1")
+    kept = durable(tokens.groupBy("v", "x", "y").agg(F.min("token").alias("token")).select("token", "v"), "jaccard-tokens")
+    members = sized_join(post, kept, "token", "inner", 24)
+    shipped = _in_blocks(members.join(reps_r.select("r", "n", "bits"), "r"), "token", "v", "r").select("g", "r", "n", "bits")
+    close = shipped.repartition("g").sortWithinPartitions("g").mapInPandas(_group_edges(percent), "a long, b long")
+    cells = components(close).withColumnRenamed("node", "r").withColumnRenamed("root", "cell")
+    cells = cells.unionByName(cells.select(F.col("cell").alias("r"), "cell").distinct())
     sizes = cells.groupBy("cell").agg(F.count("*").alias("m"))
-    want = durable(cells.join(sizes, "cell").join(reps.select("k", "doc_id"), "k"), "jaccard-cells")
+    want = durable(cells.join(sizes, "cell").join(reps_r.select("r", "k", "doc_id"), "r").drop("r"), "jaccard-cells")
     texts = sized_join(docs.where("text is not null").withColumnRenamed("doc_id", "d"), want, F.col("d").eqNullSafe(F.col("doc_id")), "inner", 120)
-    exact = _in_blocks(texts.select("cell", "m", "k", "text"), "cell", "m").select("g", "k", "text").repartition("g").sortWithinPartitions("g").mapInPandas(_cell_edges(width, percent), "a string, b string")
+    exact = _in_blocks(texts.select("cell", "m", "k", "text"), "cell", "m", "k").select("g", "k", "text").repartition("g").sortWithinPartitions("g").mapInPandas(_cell_edges(width, percent), "a string, b string")
     links = components(exact)
     ids = reps.select("k", "doc_id").join(links.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     low = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
