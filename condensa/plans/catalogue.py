@@ -1,4 +1,365 @@
-"""Queries of the reduction engine by name, and their SQL."""
+"""Queries of the reduction engine by name, and their SQL over the same tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from condensa.functions import levels as L
+from condensa.functions import text as T
+from condensa.operators import analytics as A
+from condensa.operators import budget as B
+from condensa.operators import classify as C
+from condensa.operators import diffs, reducers
+from condensa.sources import store as S
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark, d):
+    return table(spark, d, "documents")
+
+
+@query("SELECT doc_id, ceil(strlen(text) / 3.5)::BIGINT AS tokens, sha256(text) AS hash FROM documents")
+def tokens_and_hash(spark, d):
+    return docs(spark, d).select("doc_id", T.estimated_tokens(F.col("text")).alias("tokens"), T.content_hash(F.col("text")).alias("hash"))
+
+
+_LINES = "(CASE WHEN text LIKE '%' || chr(10) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END)"
+
+
+@query(f"SELECT doc_id, len({_LINES})::BIGINT AS n_lines FROM documents")
+def line_count(spark, d):
+    return docs(spark, d).select("doc_id", F.size(T.lines(F.col("text"))).cast("bigint").alias("n_lines"))
+
+
+@query("SELECT doc_id, CASE WHEN strlen(text) <= 100 THEN text ELSE list_aggregate(list_transform(list_filter(range(1, 101), lambda i: strlen(left(text, i)) <= 100), lambda i: i), 'max')::VARCHAR END AS cut FROM documents")
+def byte_cut(spark, d):
+    t = F.col("text")
+    cut = T.cut_bytes(t, 100)
+    return docs(spark, d).select("doc_id", F.when(F.octet_length(t) <= 100, t).otherwise((F.length(cut) - 3).cast("string")).alias("cut"))
+
+
+_FIRST5 = "string_split(text, chr(10))[1:5]"
+_CMD = " OR ".join(f"contains(l, '{m}')" for m in L.COMMAND_MARKS)
+_ROLE = " OR ".join(f"starts_with(l, '{r}')" for r in L.ROLES)
+_LANG = """CASE WHEN contains(text, 'fn main()') OR contains(text, 'pub fn ') OR contains(text, 'impl ') THEN 'rust'
+ WHEN contains(text, 'func ') AND contains(text, 'package ') THEN 'go'
+ WHEN contains(text, 'def ') AND contains(text, 'import ') AND NOT contains(text, '{') THEN 'python'
+ WHEN contains(text, 'interface ') AND contains(text, ': ') AND contains(text, 'export ') THEN 'typescript'
+ WHEN contains(text, 'function ') OR contains(text, 'const ') OR contains(text, '=> {') THEN 'javascript'
+ WHEN contains(text, 'public class ') OR contains(text, 'public static void main') THEN 'java' END"""
+_TYPE = f"""CASE WHEN strlen(trim(text)) < 10 THEN 'unknown'
+ WHEN contains(text, chr(27) || '[') OR len(list_filter({_FIRST5}, lambda l: {_CMD})) > 0 THEN 'command_output'
+ WHEN {_LANG} IS NOT NULL THEN 'code:' || ({_LANG})
+ WHEN len(list_filter(string_split(text, chr(10))[1:20], lambda l: {_ROLE})) >= 2 THEN 'conversation' ELSE 'unknown' END"""
+
+
+@query(f"SELECT doc_id, {_TYPE} AS content_type FROM documents")
+def detect_type(spark, d):
+    return docs(spark, d).select("doc_id", C.content_type(F.col("text"), maybe_json=False).alias("content_type"))
+
+
+@query(f"SELECT page_id, ({_LANG.replace('text', 'html')}) AS language FROM pages")
+def detect_language(spark, d):
+    return table(spark, d, "pages").select("page_id", C.language_of(F.col("html")).alias("language"))
+
+
+_ENDS = ["rs", "TSX", "hpp", "kts", "txt", "py", "mjs", "go"]
+_EXT_CASE = " ".join(f"WHEN '{e}' THEN '{n}'" for n, es in L.EXTENSIONS.items() for e in es)
+_PATH = "'src/f' || l_linenumber || '.' || (" + str(_ENDS).replace('"', "'") + ")[l_orderkey % 8 + 1]"
+
+
+@query(f"SELECT path, CASE lower(string_split(path, '.')[-1]) {_EXT_CASE} END AS language, count(*) AS n FROM (SELECT {_PATH} AS path FROM lineitem) GROUP BY 1, 2")
+def language_by_path(spark, d):
+    end = F.element_at(F.array(*map(F.lit, _ENDS)), (F.col("l_orderkey") % 8 + 1).cast("int"))
+    rows = table(spark, d, "lineitem").select(F.concat(F.lit("src/f"), F.col("l_linenumber").cast("string"), F.lit("."), end).alias("path"))
+    return rows.groupBy("path").agg(F.count("*").alias("n")).select("path", C.language_of_path(F.col("path")).alias("language"), "n")
+
+
+@query(f"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'command_output' WHEN 1 THEN 'code:rust' ELSE {_TYPE} END AS content_type FROM documents")
+def route_by_tool(spark, d):
+    tool = F.element_at(F.array(*map(F.lit, ["Bash", "Edit", "Read", "Other"])), (F.col("doc_id") % 4 + 1).cast("int"))
+    return docs(spark, d).select("doc_id", C.type_of_tool(tool, F.col("text"), maybe_json=False).alias("content_type"))
+
+
+_ANSI_TEXT = "chr(27) || '[32m' || event_type || chr(27) || '[0m ' || user_id"
+
+
+@query(f"SELECT event_id, event_type || ' ' || user_id AS plain, contains({_ANSI_TEXT}, chr(27) || '[') AS had_ansi FROM events")
+def strip_ansi(spark, d):
+    t = F.concat(F.lit("\x1b[32m"), "event_type", F.lit("\x1b[0m "), F.col("user_id").cast("string"))
+    return table(spark, d, "events").select("event_id", T.strip_ansi(t).alias("plain"), C.has_ansi(t).alias("had_ansi"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_name = p_type THEN 1.0 ELSE
+ len(list_filter(range(1, least(length(p_name), length(p_type)) + 1), lambda i: substr(p_name, i, 1) = substr(p_type, i, 1)))::DOUBLE / greatest(strlen(p_name), strlen(p_type)) END AS similarity FROM part""")
+def line_similarity(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.line_similarity(F.col("p_name"), F.col("p_type")).cast("double").alias("similarity"))
+
+
+_LOG = "SELECT user_id, string_agg(event_type, chr(10) ORDER BY ts, event_id) AS content FROM events GROUP BY user_id"
+
+
+def logs(spark, d):
+    rows = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("x"))
+    return rows.select("user_id", F.array_join(F.transform("x", lambda e: e["event_type"]), "\n").alias("content"))
+
+
+_RUNS = f"""WITH logs AS ({_LOG}), l AS (SELECT user_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM logs),
+ m AS (SELECT *, CASE WHEN line = lag(line) OVER (PARTITION BY user_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM l),
+ g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY i) AS run FROM m),
+ r AS (SELECT user_id, run, min(line) AS line, count(*) AS n FROM g GROUP BY 1, 2),
+ o AS (SELECT user_id, run, CASE WHEN n = 1 THEN [line] WHEN n = 2 THEN [line, line] ELSE [line, '[... ' || n || ' similar lines]'] END AS rows FROM r),
+ f AS (SELECT user_id, flatten(list(rows ORDER BY run)) AS rows FROM o GROUP BY user_id)"""
+
+
+@query(_RUNS + " SELECT user_id, CASE WHEN len(rows) <= 200 THEN array_to_string(rows, chr(10)) ELSE array_to_string(rows[1:200], chr(10)) || chr(10) || '[... ' || (len(rows) - 200) || ' more lines truncated]' END AS reduced FROM f")
+def reduce_logs_light(spark, d):
+    return logs(spark, d).select("user_id", reducers.reduced(F.col("content"), F.lit("command_output"), F.lit("light")).alias("reduced"))
+
+
+@query()
+def reduce_logs_aggressive(spark, d):
+    return logs(spark, d).select("user_id", reducers.reduced(F.col("content"), F.lit("command_output"), F.lit("aggressive")).alias("reduced"))
+
+
+_TESTS = "SELECT user_id, string_agg('test m::e' || event_id || CASE WHEN event_id % 7 = 0 THEN ' ... ignored' ELSE ' ... ok' END, chr(10) ORDER BY event_id) AS content, count(*) AS n, count(*) FILTER (event_id % 7 = 0) AS skipped FROM events GROUP BY user_id"
+
+
+@query(f"SELECT user_id, '[Test Summary] ' || (n - skipped) || ' passed, 0 failed, ' || skipped || ' skipped (' || n || ' total)' AS reduced FROM ({_TESTS}) WHERE n >= 5")
+def test_log_summary(spark, d):
+    line = F.concat(F.lit("test m::e"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 7 == 0, " ... ignored").otherwise(" ... ok"))
+    rows = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("x")).where("n >= 5")
+    return rows.select("user_id", reducers.reduced(F.array_join(F.transform("x", lambda e: e["line"]), "\n"), F.lit("command_output"), F.lit("medium")).alias("reduced"))
+
+
+@query("""WITH e AS (SELECT l_orderkey, l_linenumber, 'error[E' || l_linenumber || ']: bad ' || l_returnflag AS line FROM lineitem),
+ g AS (SELECT l_orderkey, count(*) AS n, list_sort(list_distinct(list(line))) AS rows FROM e GROUP BY 1)
+ SELECT l_orderkey, '[Compiler Summary] ' || n || ' errors, 0 warnings' || chr(10) || chr(10) || 'Errors:' || chr(10) || array_to_string(list_transform(rows[1:5], lambda x: '  ' || x), chr(10))
+  || CASE WHEN n > len(rows[1:5]) THEN chr(10) || '  [... ' || (n - len(rows[1:5])) || ' more errors]' ELSE '' END AS reduced FROM g WHERE n >= 3""")
+def compiler_log_summary(spark, d):
+    line = F.concat(F.lit("error[E"), F.col("l_linenumber").cast("string"), F.lit("]: bad "), "l_returnflag")
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("line")))).alias("x")).where("n >= 3")
+    return rows.select("l_orderkey", reducers.reduced(F.array_join(F.transform("x", lambda e: e["line"]), "\n"), F.lit("command_output"), F.lit("aggressive")).alias("reduced"))
+
+
+_NEWLINES = "replace(text, chr(10), ' ')"
+_TURNS = f"SELECT conv_id, turn, role, CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' END AS name, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations"
+
+
+@query(f"""SELECT conv_id, turn, (i::DOUBLE / n) * 0.3
+ + CASE WHEN contains(text, '.rs') OR contains(text, '.ts') OR contains(text, '.py') OR contains(text, '.js') OR contains(text, '/src/') THEN 0.15 ELSE 0.0 END
+ + CASE WHEN contains(text, 'error') OR contains(text, 'Error') OR contains(text, 'failed') OR contains(text, 'FAILED') OR contains(text, 'panic') THEN 0.25 ELSE 0.0 END AS score FROM ({_TURNS})""")
+def turn_scores(spark, d):
+    """Recency, paths and errors of the turns, by native columns (the data hold no other signals)."""
+    w = Window.partitionBy("conv_id")
+    rows = table(spark, d, "conversations").withColumn("i", F.row_number().over(w.orderBy("turn", "text")) - 1).withColumn("n", F.count("*").over(w))
+    has = lambda *xs: F.col("text").rlike("|".join(x.replace(".", r"\.") for x in xs))
+    score = (F.col("i").cast("double") / F.col("n")) * 0.3 + F.when(has(".rs", ".ts", ".py", ".js", "/src/"), 0.15).otherwise(0.0) + F.when(has("error", "Error", "failed", "FAILED", "panic"), 0.25).otherwise(0.0)
+    return rows.select("conv_id", "turn", score.alias("score"))
+
+
+@query()
+def conversation_reduce(spark, d):
+    name = F.when(F.col("role") == "user", "User: ").when(F.col("role") == "assistant", "Assistant: ").otherwise("")
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(name, "text").alias("line")))).alias("x"))
+    text = F.array_join(F.transform("x", lambda e: e["line"]), "\n")
+    return rows.select("conv_id", *(reducers.reduced(text, F.lit("conversation"), F.lit(v)).alias(v) for v in L.LEVELS))
+
+
+_ITEMS = "SELECT l_orderkey, '[' || string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber) || ']' AS content, list(l_linenumber ORDER BY l_linenumber) AS xs, count(*) AS n FROM lineitem GROUP BY 1"
+
+
+@query(f"""SELECT l_orderkey, '[' || chr(10) || array_to_string(list_transform(CASE WHEN n <= 5 THEN xs::VARCHAR[] ELSE list_concat(xs[1:2]::VARCHAR[], ['"... ' || (n - 5) || ' more items (' || n || ' total)"'], xs[-3:]::VARCHAR[]) END, lambda x: '  ' || x), ',' || chr(10)) || chr(10) || ']' AS reduced FROM ({_ITEMS})""")
+def json_array_sample(spark, d):
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("xs"))
+    return rows.select("l_orderkey", reducers.reduced(F.to_json("xs"), F.lit("json"), F.lit("medium")).alias("reduced"))
+
+
+@query()
+def json_reduce(spark, d):
+    o = table(spark, d, "orders").join(table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", F.struct("l_returnflag", F.struct("l_shipdate").alias("dates")).alias("flags")))).alias("items")), "o_orderkey")
+    text = F.to_json(F.struct("o_orderkey", "o_totalprice", "items"))
+    return o.select("o_orderkey", *(reducers.reduced(text, F.lit("json"), F.lit(v)).alias(v) for v in L.LEVELS))
+
+
+def tools(spark, d):
+    schema = F.struct(F.struct(F.struct(F.lit("integer").alias("type"), F.lit("size").alias("description")).alias("p_size")).alias("properties"))
+    tool = F.struct("p_partkey", F.struct(F.concat(F.lower(F.regexp_replace("p_type", " ", "_")), F.lit("__"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_name").alias("description"), schema.alias("input_schema")).alias("t"))
+    return table(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(tool)).alias("x")).select("p_brand", F.to_json(F.transform("x", lambda e: e["t"])).alias("content"))
+
+
+@query()
+def tool_list_reduce(spark, d):
+    return tools(spark, d).select("p_brand", *(reducers.reduced(F.col("content"), F.lit("mcp_schema"), F.lit(v)).alias(v) for v in L.LEVELS))
+
+
+@query("SELECT p_brand, CASE WHEN p_partkey % 3 = 0 THEN 'core' ELSE string_split(lower(p_type) || '__' || p_partkey, '__')[1] END AS ns, count(*) AS n FROM part GROUP BY 1, 2")
+def tool_namespaces(spark, d):
+    name = F.when(F.col("p_partkey") % 3 == 0, F.lower("p_type")).otherwise(F.concat(F.lower("p_type"), F.lit("__"), F.col("p_partkey").cast("string")))
+    ns = F.when(F.contains(name, F.lit("__")), F.substring_index(name, "__", 1)).otherwise("core")
+    return table(spark, d, "part").groupBy("p_brand", ns.alias("ns")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey, p_size, CASE WHEN p_size > 50 THEN 'summary' ELSE 'full' END AS light,
+ CASE WHEN p_size > 30 THEN 'signature' WHEN p_size > 10 THEN 'summary' ELSE 'full' END AS medium,
+ CASE WHEN p_size > 10 THEN 'signature' WHEN p_size > 5 THEN 'summary' ELSE 'full' END AS aggressive FROM part""")
+def fold_decisions(spark, d):
+    def choice(level):
+        n, sig = F.col("p_size"), L.LIMITS["signature_over"][level]
+        out = F.when(n > L.LIMITS["summary_over"][level], "summary").otherwise("full")
+        return F.when(n > sig, "signature").otherwise(out) if sig else out
+
+    return table(spark, d, "part").select("p_partkey", "p_size", *(choice(v).alias(v) for v in L.LEVELS))
+
+
+@query("SELECT s_suppkey, 'fn f' || s_suppkey || '() ' || CASE WHEN s_suppkey % 40 + 2 > 10 THEN '{ /* ... ' || (s_suppkey % 40 + 2) || ' lines */ }' WHEN s_suppkey % 40 + 2 > 6 THEN '{' || chr(10) || '    a();' || chr(10) || '    a();' || chr(10) || '    // ... ' || (s_suppkey % 40 - 3) || ' lines folded ...' || chr(10) || '    a();' || chr(10) || '}' ELSE '{' || chr(10) || repeat('    a();' || chr(10), s_suppkey % 40) || '}' END AS reduced FROM supplier")
+def code_fold(spark, d):
+    body = F.repeat(F.lit("    a();\n"), (F.col("s_suppkey") % 40).cast("int"))
+    code = F.concat(F.lit("fn f"), F.col("s_suppkey").cast("string"), F.lit("() {\n"), body, F.lit("}"))
+    return table(spark, d, "supplier").select("s_suppkey", reducers.reduced(code, F.lit("code:rust"), F.lit("aggressive")).alias("reduced"))
+
+
+_SET = "list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''))"
+
+
+@query(f"""WITH s AS (SELECT source AS session_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS seq, {_SET} AS ls FROM documents)
+ SELECT a.session_id, a.seq, b.seq AS base_seq, len(list_intersect(a.ls, b.ls))::DOUBLE / len(list_distinct(list_concat(a.ls, b.ls))) AS jaccard
+ FROM s a JOIN s b ON a.session_id = b.session_id AND b.seq BETWEEN a.seq - 20 AND a.seq - 1 WHERE len(list_intersect(a.ls, b.ls))::DOUBLE / len(list_distinct(list_concat(a.ls, b.ls))) >= 0.6""")
+def similar_recent(spark, d):
+    return diffs.similar_earlier(items(spark, d))
+
+
+def items(spark, d):
+    seq = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("bigint")
+    return docs(spark, d).select(F.col("source").alias("session_id"), seq.alias("seq"), F.col("text").alias("content"))
+
+
+@query()
+def diff_best(spark, d):
+    return diffs.best_diffs(items(spark, d))
+
+
+def events(spark, d, maybe_json=False):
+    """Reduction events of the documents: the session is the source, the reduced size half of the tokens, or all of few."""
+    o = T.estimated_tokens(F.col("text"))
+    kind = F.element_at(F.array(*map(F.lit, ["code:rust", "command_output", "json", "conversation"])), (F.col("doc_id") % 4 + 1).cast("int"))
+    return docs(spark, d).select(F.col("doc_id").alias("id"), F.col("source").alias("session_id"), kind.alias("content_type"), T.content_hash(F.col("text")).alias("original_hash"), o.alias("original_tokens"), F.when(F.col("doc_id") % 3 == 0, o).otherwise(F.floor(o / 2)).cast("bigint").alias("compressed_tokens"))
+
+
+_EV = "SELECT doc_id AS id, source AS session_id, ['code:rust', 'command_output', 'json', 'conversation'][doc_id % 4 + 1] AS content_type, sha256(text) AS original_hash, ceil(strlen(text) / 3.5)::BIGINT AS o, CASE WHEN doc_id % 3 = 0 THEN ceil(strlen(text) / 3.5)::BIGINT ELSE floor(ceil(strlen(text) / 3.5) / 2)::BIGINT END AS c FROM documents"
+_ST = f"SELECT session_id, content_type, sum(o)::BIGINT AS original_tokens, sum(c)::BIGINT AS compressed_tokens, count(*) AS n, CASE WHEN sum(o) > 0 THEN 1 - sum(c)::DOUBLE / sum(o)::DOUBLE ELSE 0.0 END AS ratio FROM ({_EV}) GROUP BY 1, 2"
+
+
+@query(_ST)
+def session_stats(spark, d):
+    return A.type_stats(events(spark, d))
+
+
+@query(f"SELECT session_id, sum(o)::BIGINT AS original_tokens, sum(c)::BIGINT AS compressed_tokens, count(*) AS n, greatest(sum(o) - sum(c), 0)::BIGINT AS tokens_saved, 1 - sum(c)::DOUBLE / sum(o)::DOUBLE AS ratio FROM ({_EV}) GROUP BY 1")
+def session_totals(spark, d):
+    return A.session_totals(events(spark, d)).drop("by_type")
+
+
+@query(f"""SELECT session_id, n, score, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 70 THEN 'good' WHEN score >= 50 THEN 'moderate' ELSE 'poor' END AS assessment,
+ CASE WHEN score < 70 THEN 'Use level light or medium for better quality.' END AS recommendation FROM (
+ SELECT session_id, sum(n)::BIGINT AS n, CASE WHEN sum(n) < 3 THEN 50.0::DOUBLE ELSE greatest(0.0, least(100.0, 80.0 + sum(CASE WHEN ratio > 0.9 THEN -10.0 WHEN ratio > 0.7 THEN -3.0 WHEN ratio >= 0.3 THEN 2.0 ELSE 0.0 END)))::DOUBLE END AS score FROM ({_ST}) GROUP BY 1)""")
+def quality_score(spark, d):
+    return A.quality(events(spark, d))
+
+
+_CLASS = f"SELECT session_id, sum(original_tokens)::BIGINT AS total, CASE WHEN sum(original_tokens) = 0 THEN 'empty' WHEN sum(original_tokens) FILTER (content_type = 'command_output') / sum(original_tokens) > 0.5 THEN 'debugging' WHEN sum(original_tokens) FILTER (content_type LIKE 'code%') / sum(original_tokens) > 0.5 THEN 'code_review' ELSE 'feature_build' END AS session_class FROM ({_ST}) GROUP BY 1"
+
+
+@query(_CLASS)
+def session_class(spark, d):
+    return A.session_class(events(spark, d))
+
+
+@query(f"""SELECT session_id, -original_tokens AS place, 'Raise the level for ''' || content_type || ''': only ' || format('{{:.0f}}', ratio * 100) || '% saved on ' || original_tokens || ' tokens' AS advice FROM ({_ST}) WHERE ratio < 0.3 AND original_tokens > 1000
+ UNION ALL SELECT session_id, 1, CASE session_class WHEN 'debugging' THEN 'Debugging session: reduce command output at level aggressive.' ELSE 'Code review session: fold reviewed files at level aggressive.' END FROM ({_CLASS}) WHERE session_class IN ('debugging', 'code_review')""")
+def recommendations(spark, d):
+    return A.recommendations(events(spark, d))
+
+
+@query(f"SELECT session_id, content_type, original_tokens, rank FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY original_tokens DESC, content_type)::INT AS rank FROM ({_ST})) WHERE rank <= 3")
+def top_consumers(spark, d):
+    rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("original_tokens"), "content_type"))
+    return A.type_stats(events(spark, d)).withColumn("rank", rank).where("rank <= 3").select("session_id", "content_type", "original_tokens", "rank")
+
+
+@query(f"SELECT original_hash, max(id) AS id, count(*) AS n FROM ({_EV}) GROUP BY 1")
+def latest_by_hash(spark, d):
+    return events(spark, d).groupBy("original_hash").agg(F.max("id").alias("id"), F.count("*").alias("n"))
+
+
+@query("WITH h AS (SELECT sha256(text) AS original_hash, text, doc_id FROM documents) SELECT a.original_hash, b.text AS original FROM (SELECT DISTINCT original_hash FROM h) a JOIN (SELECT original_hash, max(text) AS text FROM h GROUP BY 1) b USING (original_hash)")
+def expand_by_hash(spark, d):
+    rows = docs(spark, d).select(F.col("doc_id").alias("id"), T.content_hash(F.col("text")).alias("original_hash"), F.col("text").alias("original"), F.col("text").alias("compressed"))
+    return S.expand(rows, rows.select("original_hash").distinct())
+
+
+@query(f"SELECT session_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY id DESC)::INT AS rank FROM ({_EV})) WHERE rank <= 20")
+def recent_items(spark, d):
+    return S.recent_items(events(spark, d)).select("session_id", "id", "rank")
+
+
+_ACC = "SELECT event_type AS project, 'user_' || user_id AS file, ts FROM events"
+
+
+@query(f"SELECT project, file, access_count, rank FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY access_count DESC, file)::INT AS rank FROM (SELECT project, file, count(*) AS access_count FROM ({_ACC}) GROUP BY 1, 2)) WHERE rank <= 20")
+def top_files(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_type").alias("project"), F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("file"), "ts")
+    return S.top_files(rows).select("project", "file", "access_count", "rank")
+
+
+@query("SELECT user_id::VARCHAR AS session_id, event_type AS tool_name, count(*) AS call_count FROM events GROUP BY 1, 2")
+def tool_usage(spark, d):
+    rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("tool_name"), "ts")
+    return S.count_tool_usage(rows).drop("last_used_at")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 10 < 0.05 THEN 70.0 WHEN l_discount * 10 > 0.95 THEN 75.0 WHEN l_discount * 10 >= 0.3 AND l_discount * 10 <= 0.8 THEN 95.0 ELSE 88.0 END::DOUBLE AS quality FROM lineitem")
+def bench_quality(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", A.bench_quality(F.col("l_discount") * 10).alias("quality"))
+
+
+_CAT = "CASE WHEN content_type LIKE 'code%' THEN 'code' WHEN content_type = 'conversation' THEN 'conversation' WHEN content_type = 'mcp_schema' THEN 'mcp' ELSE 'tool_output' END"
+_LIMIT = "CASE category WHEN 'conversation' THEN 40000 WHEN 'tool_output' THEN 30000 WHEN 'code' THEN 20000 ELSE 10000 END"
+
+
+@query(f"""SELECT session_id, id, category, used_before, CASE WHEN used_before / ({_LIMIT}) < 0.5 THEN 'light' WHEN used_before / ({_LIMIT}) < 0.8 THEN 'medium' ELSE 'aggressive' END AS level FROM (
+ SELECT session_id, id, category, coalesce(sum(c) OVER (PARTITION BY session_id, category ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used_before FROM (SELECT *, {_CAT} AS category FROM ({_EV})))""")
+def budget_levels(spark, d):
+    rows = events(spark, d).select("session_id", "id", B.category_of(F.col("content_type")).alias("category"), F.col("id").alias("seq"), F.col("compressed_tokens").alias("tokens"))
+    return B.running_usage(rows).select("session_id", "id", "category", "used_before", "level")
+
+
+@query()
+def budget_feedback(spark, d):
+    o = F.col("original_tokens")
+    rows = events(spark, d).select("session_id", B.category_of(F.col("content_type")).alias("category"), F.col("id").alias("seq"), o.alias("light"), F.floor(o / 2).alias("medium"), F.floor(o / 4).alias("aggressive"))
+    return B.feedback(rows)
+
+
+@query()
+def reduce_documents(spark, d):
+    """The whole pipeline: classify, reduce, measure."""
+    rows = docs(spark, d).select(F.col("doc_id").alias("id"), F.col("source").alias("session_id"), F.col("text").alias("content"))
+    return S.measure(rows, "medium").select("id", "session_id", "content_type", "original_hash", "original_tokens", "compressed_tokens", "ratio")
