@@ -89,11 +89,12 @@ def windows_hash(h: np.ndarray, offsets: list[int], seed: int = 1) -> np.ndarray
     n = len(h) - offsets[-1]
     if n <= 0:
         return np.empty(0, np.uint64)
-    acc = np.full(n, np.uint64(seed), np.uint64)
+    acc, factor = np.full(n, np.uint64(seed), np.uint64), 0x9E3779B97F4A7C15
     with np.errstate(over="ignore"):
-        for o in offsets:
-            acc = mix64(acc * np.uint64(0x100000001B3) + h[o : o + n])
-    return acc
+        for o in offsets:  # an odd factor for each place makes the sum depend on the order
+            acc += h[o : o + n] * np.uint64(factor)
+            factor = factor * 0xD6E8FEB86659FD93 & (2**64 - 1)
+    return mix64(acc)
 
 
 def sorted_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
