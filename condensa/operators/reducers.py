@@ -35,13 +35,22 @@ def similarity(a: str, b: str) -> float:
     return sum(map(str.__eq__, a, b)) / max(len(a.encode()), len(b.encode()))
 
 
+def _alike(a: str, b: str, threshold: float) -> bool:
+    """Whether the similarity reaches the threshold; lengths far apart or an exact threshold need no comparison."""
+    if a == b:
+        return True
+    if threshold >= 1.0 or min(len(a), len(b)) < threshold * max(len(a), len(b)):
+        return False
+    return similarity(a, b) >= threshold
+
+
 def collapse_runs(rows: list[str], threshold: float) -> list[str]:
     """Lines like the head of their run collapse; blank lines end runs and stay."""
     runs: list[list] = []  # [head or None for a blank, count]
     for row in (r.rstrip() for r in rows):
         if not row:
             runs.append([None, 1])
-        elif runs and runs[-1][0] is not None and similarity(runs[-1][0], row) >= threshold:
+        elif runs and runs[-1][0] is not None and _alike(runs[-1][0], row, threshold):
             runs[-1][1] += 1
         else:
             runs.append([row, 1])
