@@ -32,6 +32,8 @@ from condensa.llm._kit import components, durable, local_roots, sized_join, sort
 BLOCK = 8192
 #: A shingle is heavy from this share of the documents on (and from HEAVY_LEAST on).
 HEAVY_SHARE, HEAVY_LEAST = 1e-3, 16
+#: Places of the bitmap that keeps single shingles out of a shuffle, as 2^20 words of 64 bits: its size is fixed.
+FILTER_WORD_BITS = 20
 #: Shingles that are counted together before a chunk's repeated ones are passed on.
 CHUNK = 2_000_000
 
@@ -320,6 +322,19 @@ def _in_blocks(df: DataFrame, group: str, members: str, key: str) -> DataFrame:
     return df.withColumn("pair", F.explode(pairs)).withColumn("g", F.xxhash64(group, "pair"))
 
 
+def _may_be_kept(post: DataFrame, kept: DataFrame) -> DataFrame:
+    """The posts whose token may be a kept one, by a bitmap of hashed tokens.
+
+    It has at most 2^FILTER_WORD_BITS rows at every size, so it can be broadcast;
+    the more tokens are kept the more posts pass, and the join that follows is exact.
+    """
+    place = F.xxhash64("token")
+    word, bit = F.shiftrightunsigned(place, 64 - FILTER_WORD_BITS).alias("word"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit")
+    words = kept.select(word, bit).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask"))
+    passed = post.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(words), "word")
+    return passed.where("shiftright(mask, bit) & 1 = 1").select(*post.columns)
+
+
 def ngram_jaccard(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, k (the set's key, null without shingles)."""
     docs = docs.select("doc_id", "text")
@@ -333,7 +348,7 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     post = reps_r.select(F.explode("prefix").alias("token"), "r")
     tokens = post.groupBy("token").agg(F.count("*").cast("int").alias("v"), F.bit_xor("r").alias("x"), F.bit_xor(F.xxhash64("r")).alias("y")).where("v > 1")
     kept = durable(tokens.groupBy("v", "x", "y").agg(F.min("token").alias("token")).select("token", "v"), "jaccard-tokens")
-    members = sized_join(post, kept, "token", "inner", 24)
+    members = sized_join(_may_be_kept(post, kept), kept, "token", "inner", 24)
     shipped = _in_blocks(members.join(reps_r.select("r", "n", "bits"), "r"), "token", "v", "r").select("g", "r", "n", "bits")
     close = shipped.repartition("g").sortWithinPartitions("g").mapInPandas(_group_edges(percent), "a long, b long")
     cells = components(close).withColumnRenamed("node", "r").withColumnRenamed("root", "cell")
