@@ -55,10 +55,15 @@ def prefix_len(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def parity_bits(s: np.ndarray) -> bytes:
-    """Bitmap of the parity of hashed members; XOR counts at most the symmetric difference."""
+def parity_bits(s: np.ndarray, percent: int) -> bytes:
+    """Bitmap of the parity of hashed members; XOR counts at most the symmetric difference.
+
+    Its width follows the greatest difference of linked sets: unlinked ones differ in
+    about half of the places, which has to lie clearly above it.
+    """
+    most = 2 * (100 - percent) * len(s) / (100 + percent)
     width = 128
-    while 4 * width < 3 * len(s) and width < 16384:
+    while width < 2.8 * most and width < 16384:
         width *= 2
     odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
@@ -127,7 +132,7 @@ def _describe(width: int, percent: int, heavy):
                     light = np.concatenate([light, h[: need - len(light)]])
                 out["k"].append(set_key(s))
                 out["prefix"].append(light.view(np.int64))
-                out["bits"].append(parity_bits(s))
+                out["bits"].append(parity_bits(s, percent))
             yield pd.DataFrame({"doc_id": pd.array(out["doc_id"], dtype="Int64"), "n": out["n"], "k": out["k"], "prefix": out["prefix"], "bits": out["bits"]})
 
     return run
