@@ -4,8 +4,9 @@ A document's set holds the 64-bit hashes of its distinct word shingles; document
 with equal sets collapse to one key first.  Two sets reach Jaccard t only if they
 meet in the first n - ceil(t n) + 1 shingles of a global order (light shingles
 first, heavy ones last), so only those prefixes are posted.  Token groups with the
-same members are searched once; inside a group a parity bitmap gives a lower bound
-of the symmetric difference, and what survives is joined to cells.  Each cell's
+same members are searched once; members without another of a near size leave first,
+then a parity bitmap gives a lower bound of the symmetric difference, and what
+survives is joined to cells.  Each cell's
 full sets are then searched exactly: the short inverted lists are merged, the long
 ones probed by binary search (DivideSkip), and documents reaching the overlap link.
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from condensa.llm._kit import components, durable, local_roots, sized_join, sorted_groups, windows_hash, word_hashes
@@ -340,6 +341,17 @@ def _may_be_kept(post: DataFrame, kept: DataFrame) -> DataFrame:
     return passed.where("shiftright(mask, bit) & 1 = 1").select(*post.columns)
 
 
+def _with_near_size(rows: DataFrame, percent: int) -> DataFrame:
+    """The members of a group g that have another of a size they could be linked with.
+
+    Sizes of linked sets differ by the similarity at most, so the next smaller and
+    the next larger member tell.  A group is a block or a pair of blocks here.
+    """
+    by_size = Window.partitionBy("g").orderBy("n")
+    seen = rows.withColumn("below", F.lag("n").over(by_size)).withColumn("above", F.lead("n").over(by_size))
+    return seen.where((100 * F.col("below") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("above"))).select(*rows.columns)
+
+
 def ngram_jaccard(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, k (the set's key, null without shingles)."""
     docs = docs.select("doc_id", "text")
@@ -350,11 +362,12 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     reps = durable(full.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "jaccard-reps")
     # up to the exact search a set goes by 64 bits of its key: a clash joins two cells, no more
     reps_r = reps.withColumn("r", F.xxhash64("k"))
-    post = reps_r.select(F.explode("prefix").alias("token"), "r")
+    post = reps_r.select(F.explode("prefix").alias("token"), "r", "n")
     tokens = post.groupBy("token").agg(F.count("*").cast("int").alias("v"), F.bit_xor("r").alias("x"), F.bit_xor(F.xxhash64("r")).alias("y")).where("v > 1")
     kept = durable(tokens.groupBy("v", "x", "y").agg(F.min("token").alias("token")).select("token", "v"), "jaccard-tokens")
     members = sized_join(_may_be_kept(post, kept), kept, "token", "inner", 24)
-    shipped = _in_blocks(members.join(reps_r.select("r", "n", "bits"), "r"), "token", "v", "r").select("g", "r", "n", "bits")
+    near = _with_near_size(_in_blocks(members, "token", "v", "r").select("g", "r", "n"), percent)
+    shipped = near.join(reps_r.select("r", "bits"), "r").select("g", "r", "n", "bits")
     close = shipped.repartition("g").sortWithinPartitions("g").mapInPandas(_group_edges(percent), "a long, b long")
     cells = components(close).withColumnRenamed("node", "r").withColumnRenamed("root", "cell")
     cells = cells.unionByName(cells.select(F.col("cell").alias("r"), "cell").distinct())
