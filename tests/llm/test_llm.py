@@ -191,3 +191,14 @@ def test_pipeline(spark):
     left = left[[not x for x in leak]]
     assert set(out.doc_id) <= set(left.doc_id) and out.groupby("doc_id").size().max() <= 2
     assert out["shard"].between(0, 15).all() and len(out) >= 0.8 * len(left)
+
+
+def test_jaccard_prefilters(spark):
+    post = spark.createDataFrame([(t, t + 1, 5) for t in (-(2**63), -7, 0, 1, 2**63 - 2, 5)], "token long, r long, n int")
+    kept = spark.createDataFrame([(-(2**63), 2), (0, 2), (2**63 - 2, 3)], "token long, v int")
+    passed = ngram_jaccard._may_be_kept(post, kept)
+    assert passed.columns == post.columns and {-(2**63), 0, 2**63 - 2} <= {r["token"] for r in passed.collect()}
+    assert ngram_jaccard._may_be_kept(post, kept.where("v > 9")).count() == 0
+    rows = spark.createDataFrame([(1, 1, 80), (1, 2, 100), (1, 3, 126), (2, 4, 7), (2, 5, 7), (3, 6, 50), (4, 7, 79), (4, 8, 100)], "g long, r long, n int")
+    near = {r["r"] for r in ngram_jaccard._with_near_size(rows, 80).collect()}
+    assert near == {1, 2, 4, 5}  # 80 of 100 is just near enough; 100 of 126 and 79 of 100 are not; ties are near
