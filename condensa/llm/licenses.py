@@ -46,7 +46,7 @@ TEMPLATES = {
 }
 #: Words that any prose has; they take no part in the index.
 COMMON = frozenset("a and any are for in is into of or possible terms the this to use with without work 0 2 3 4".split())
-#: Rarest words looked up for a file, and agreeing words that make an alignment.
+#: Distinct rarest words looked up for a file (no fewer than the templates have), and agreeing words that make an alignment.
 LOOKUPS, AGREE = 64, 2
 
 
@@ -110,9 +110,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     every = F.array_intersect(F.split(F.lower("text"), SEPARATOR), F.array(*map(F.lit, vocabulary)))
     frequency = keyed.select(F.explode(every).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     idf = frequency.select("word", (F.lit(math.log(n_docs + 1)) - F.log("df")).alias("idf"))  # one row for each template word
-    rare = found.join(F.broadcast(idf), "word").withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("idf"), "pos")))
-    # every place of a file's rarest words is looked up: the rank is by word, so that no repeated line is lost
-    rare = rare.withColumn("first", F.min("r").over(Window.partitionBy("key", "word"))).where(F.col("first") <= LOOKUPS)
+    # distinct words are ranked and every place of a chosen one is looked up, so that no repeated line is lost
+    rare = found.join(F.broadcast(idf), "word").withColumn("r", F.dense_rank().over(Window.partitionBy("key").orderBy(F.desc("idf"), "word"))).where(F.col("r") <= LOOKUPS)
     index = docs.sparkSession.createDataFrame(postings, "label string, word string, tpos int, of int")
     met = rare.join(F.broadcast(index), "word").withColumn("offset", F.col("pos") - F.col("tpos"))
     aligned = met.groupBy("key", "label", "of", "offset").agg(F.count("*").alias("n")).where((F.col("n") >= AGREE) & (F.col("n") * 3 >= F.col("of") * 2))

@@ -137,6 +137,14 @@ def test_licenses(docs, nothing):
     assert licenses.scan_licenses(nothing).count() == 0
 
 
+def test_licenses_repeated(spark):
+    lines = ["released under the mit license", "licensed under the apache license version 2 0", "licensed under cc by nc 4 0"]
+    df = spark.createDataFrame([(10 * i + (n > 20), "\n".join([x] * n)) for i, x in enumerate(lines) for n in (20, 200)] + [(99, " ".join(lines))], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(df).collect()}
+    assert [got[0], got[10], got[20]] == [got[1], got[11], got[21]] == ["mit", "apache-2.0", "cc-by,cc-by-nc"]
+    assert len({w for _, w, _, _ in licenses.template_postings()}) <= licenses.LOOKUPS
+
+
 def test_pii(docs, nothing):
     r = pii.find_pii(docs).where("doc_id = 6").first()
     assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == (1, 1, 0, 1)
