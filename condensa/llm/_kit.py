@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when its measured rows times its row width stay below this.
@@ -44,6 +44,11 @@ def sized_join(left: DataFrame, right: DataFrame, on, how: str, row_bytes: int =
     return left.join(right, on, how)
 
 
+def row_key(*columns: Column) -> Column:
+    """A 64-bit key of a row's values; nulls count by their place."""
+    return F.xxhash64(*columns, *(F.isnull(c) for c in columns))
+
+
 def buckets(rows: int, per_bucket: int = 20_000) -> int:
     """Sub-buckets that keep each within per_bucket rows on average."""
     return max(1, -(-rows // per_bucket))

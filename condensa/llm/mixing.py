@@ -21,10 +21,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from condensa.llm._kit import buckets, durable, mix64, sized_join
+from condensa.llm._kit import buckets, durable, mix64, row_key, sized_join
 
 WORDS = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 128
@@ -86,20 +86,35 @@ def permuted(j: np.ndarray, n: int, seed: int) -> np.ndarray:
 def _slot_rows(plan: dict[int, tuple[int, int]], seed: int, step: int):
     def run(batches):
         for pdf in batches:
-            for s, first, shard in zip(pdf["s"], pdf["first"], pdf["shard"], strict=True):
+            for s, first, shards, ends in zip(pdf["s"], pdf["first"], pdf["shards"], pdf["ends"], strict=True):
                 n_slots, n_blocks = plan[int(s)]
                 j = np.arange(first, min(first + step, n_slots))
                 turn = j // n_blocks
                 index = np.concatenate([permuted(j[turn == t] % n_blocks, n_blocks, seed + 7919 * int(s) + 104_729 * int(t)) for t in np.unique(turn)]) if len(j) else j
-                yield pd.DataFrame({"s": s, "block": index, "slot": j, "shard": shard})
+                yield pd.DataFrame({"s": s, "block": index, "slot": j, "shard": np.asarray(shards)[np.searchsorted(np.asarray(ends), j, side="right")]})
 
     return run
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, cycle=CYCLE, seed: int = 17) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken."""
+def slot_chunks(counts: np.ndarray, slots: list[int], step: int) -> list[tuple[int, int, list[int], list[int]]]:
+    """(source, first slot, shards, ends): the shards that a chunk's slots go to, and the slot where each one's share ends."""
+    out = []
+    for s, n in enumerate(slots):
+        ends = counts[:, s].cumsum()
+        for c in range(0, n, step):
+            m = np.flatnonzero((counts[:, s] > 0) & (ends > c) & (ends - counts[:, s] < c + step))
+            out.append((s, c, m.tolist(), ends[m].tolist()))
+    return out
+
+
+def _mixed_pieces(docs: DataFrame, share: float, cap: float, cycle, seed: int, key: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows, pieces): each document's place in its source, and the part of it in every slot that takes it.
+
+    rows: row, doc_id, source, size, source_size, target, s, len, at, key;
+    pieces: row, s, shard, slot, block, from (word of the document), words.
+    """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("th"))
+    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("th"), key.alias("key"))
     rows = durable(rows, "mix-rows")
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -114,27 +129,65 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, cycle=CYCLE, seed
     rows = rows.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("src"))).drop("src")
     rows = rows.withColumn("place", F.xxhash64("doc_id", "th", F.lit(seed))).withColumn("part", F.floor((F.shiftrightunsigned("place", 11).cast("double") / float(1 << 53)) * F.col("parts")).cast("int"))
     starts = rows.groupBy("s", "part").agg(F.sum("size").alias("words")).withColumn("start", F.coalesce(F.sum("words").over(Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("words")
-    inside = F.sum("size").over(Window.partitionBy("s", "part").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.sum("size").over(Window.partitionBy("s", "part").orderBy("place", "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, -1))
     placed = rows.withColumn("inside", F.coalesce(inside, F.lit(0))).join(starts, ["s", "part"]).withColumn("at", F.col("start") + F.col("inside")).withColumn("row", F.monotonically_increasing_id())
-    placed = durable(placed.select("row", "doc_id", "source", "size", "source_size", "target", "s", "len", "at"), "mix-placed")
+    placed = durable(placed.select("row", "doc_id", "source", "size", "source_size", "target", "s", "len", "at", "key"), "mix-placed")
     step = 1 << 16
-    counts = draw_counts(slots, SHARDS, seed)
-    ends = counts.cumsum(axis=0)
-    chunks = []
-    for s in range(len(found)):
-        cuts = sorted({0, *range(0, slots[s], step)})
-        shard = np.searchsorted(ends[:, s], cuts, side="right")
-        chunks += [(s, int(c), int(m)) for c, m in zip(cuts, shard, strict=True) if c < slots[s]]
+    chunks = slot_chunks(draw_counts(slots, SHARDS, seed), slots, step)
     plan = {i: (slots[i], n_blocks[i]) for i in range(len(found))}
-    todo = spark.createDataFrame(chunks or [(-1, 0, 0)], "s int, first long, shard int").where("s >= 0")
+    todo = spark.createDataFrame(chunks or [(-1, 0, [], [])], "s int, first long, shards array<int>, ends array<long>").where("s >= 0")
     slot_rows = todo.repartition(max(1, min(len(chunks), 4096))).mapInPandas(_slot_rows(plan, seed, step), "s int, block long, slot long, shard int")
-    times = slot_rows.groupBy("s", "block").agg(F.count("*").alias("times"))
     first, last = F.floor(F.col("at") / F.col("len")), F.floor((F.col("at") + F.col("size") - 1) / F.col("len"))
     pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
-    words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * F.col("len")) - F.greatest(F.col("at"), F.col("block") * F.col("len"))
-    got = pieces.select("row", "s", "block", words.alias("words")).join(times, ["s", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).cast("long").alias("taken"))
-    out = placed.join(got, "row", "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    begin = F.greatest(F.col("at"), F.col("block") * F.col("len"))
+    words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * F.col("len")) - begin
+    pieces = pieces.select("row", "s", "block", (begin - F.col("at")).alias("from"), words.alias("words"))
+    # both sides grow with the input: never broadcast
+    return placed, pieces.join(slot_rows.hint("merge"), ["s", "block"]).select("row", "s", "shard", "slot", "block", "from", "words")
+
+
+def _taken(placed: DataFrame, pieces: DataFrame) -> DataFrame:
+    got = pieces.groupBy("row").agg(F.sum("words").cast("long").alias("taken"))
+    return placed.join(got, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+
+
+def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, cycle=CYCLE, seed: int = 17) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, and the words that the mixed slots take of it."""
+    return _taken(*_mixed_pieces(docs, share, cap, cycle, seed, F.lit(0))).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def _planned(docs: DataFrame, key: Column, plan: DataFrame, row_bytes: int) -> DataFrame:
+    """docs with the plan of their key (mix_key, mix_rows and more); of rows equal in all columns one stands for all."""
+    joined = sized_join(docs, plan, key == F.col("mix_key"), "inner", row_bytes)
+    if not plan.where("mix_rows > 1").limit(1).count():
+        return joined
+    return joined.where("mix_rows = 1").unionByName(joined.where("mix_rows > 1").dropDuplicates(["mix_key"]))
+
+
+def mixed_blocks(docs: DataFrame, share: float = 1.5, cap: float = 2.0, cycle=CYCLE, seed: int = 17) -> DataFrame:
+    """The mix itself, one row per slot: shard, source, slot, block, doc_ids, n_words, text (words joined by spaces)."""
+    docs = docs.select("doc_id", "source", "text")
+    key = row_key(*(docs[c] for c in docs.columns))
+    placed, pieces = _mixed_pieces(docs, share, cap, cycle, seed, key)
+    pieces = durable(pieces, "mix-pieces")
+    spots = placed.where("size > 0").groupBy("key").agg(F.collect_list(F.struct("row", "at", "size", "len")).alias("spots"))
+    plan = durable(spots.select(F.col("key").alias("mix_key"), F.size("spots").alias("mix_rows"), "spots"), "mix-spots")
+    texts = _planned(docs, key, plan, 80).select(F.regexp_extract_all("text", F.lit(WORDS), 0).alias("all"), F.explode("spots").alias("x"))
+
+    def cut(words: Column) -> Column:  # bound by the outer transform, so that the words are found once a document
+        first, last = F.floor(F.col("x.at") / F.col("x.len")), F.floor((F.col("x.at") + F.col("x.size") - 1) / F.col("x.len"))
+
+        def one(block: Column) -> Column:
+            begin = F.greatest(F.lit(0).cast("long"), block * F.col("x.len") - F.col("x.at"))
+            end = F.least(F.col("x.size"), (block + 1) * F.col("x.len") - F.col("x.at"))
+            return F.struct(block.alias("block"), F.array_join(F.slice(words, (begin + 1).cast("int"), (end - begin).cast("int")), " ").alias("text"))
+
+        return F.transform(F.sequence(first, last), one)
+
+    texts = texts.select(F.col("x.row").alias("row"), F.explode(F.element_at(F.transform(F.array("all"), cut), 1)).alias("b")).select("row", "b.block", "b.text")
+    full = pieces.join(texts, ["row", "block"]).join(placed.select("row", "doc_id", "source", "at"), "row")
+    parts = full.groupBy("shard", "s", "source", "slot", "block").agg(F.array_sort(F.collect_list(F.struct("at", "row", "doc_id", "text"))).alias("p"), F.sum("words").cast("long").alias("n_words"))
+    return parts.select("shard", "source", "slot", "block", F.transform("p", lambda x: x["doc_id"]).alias("doc_ids"), "n_words", F.array_join(F.transform("p", lambda x: x["text"]), " ").alias("text"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

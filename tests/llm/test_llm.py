@@ -86,6 +86,34 @@ def test_mixing(docs, nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_mixed_blocks(spark, docs, nothing):
+    rng = random.Random(4)
+    rows = [(i if i % 7 else None, " ".join(f"d{i}w{k}" for k in range(rng.choice([0, 3, 90, 700]))), "abc"[i % 3]) for i in range(120)] + [(500, "same words twice", "a")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    blocks, digest = mixing.mixed_blocks(df).collect(), mixing.mix(df).collect()
+    words = {}
+    for b in blocks:
+        assert len(b["text"].split()) == b["n_words"] > 0
+        for w in b["text"].split():
+            words[b["source"], w] = words.get((b["source"], w), 0) + 1
+    assert sum(words.values()) == sum(r["taken"] for r in digest)
+    known = {w: s for _, t, s in rows for w in t.split()}
+    assert all(known[w] == s for s, w in words)
+    for i, t, s in rows:
+        if i is not None and i != 500:
+            assert sum(words.get((s, w), 0) for w in t.split()) == sum(r["taken"] for r in digest if r["doc_id"] == i)
+    slots = [sum(b["source"] == s for b in blocks) for s in "abc"]
+    counts = mixing.draw_counts(slots, mixing.SHARDS, 17)
+    for s, column in zip("abc", counts.T):
+        got = [b["shard"] for b in blocks if b["source"] == s]
+        assert [got.count(m) for m in range(mixing.SHARDS)] == column.tolist()
+        assert sorted(b["slot"] for b in blocks if b["source"] == s) == list(range(len(got)))
+    assert len({b["shard"] for b in blocks}) > 200 and mixing.mixed_blocks(nothing).count() == 0
+    assert sum(b["n_words"] for b in mixing.mixed_blocks(docs).collect()) == sum(r["taken"] for r in mixing.mix(docs).collect())
+    chunks = mixing.slot_chunks(np.array([[0, 3], [5, 0], [2, 1]]), [7, 4], 4)
+    assert chunks == [(0, 0, [1], [5]), (0, 4, [1, 2], [5, 7]), (1, 0, [0, 2], [3, 4])]
+
+
 def test_sharding(docs, nothing):
     rows = sharding.shard_documents(docs).collect()
     assert len(rows) == len(ODD)
