@@ -190,12 +190,15 @@ def mixed_blocks(docs: DataFrame, share: float = 1.5, cap: float = 2.0, cycle=CY
     return parts.select("shard", "source", "slot", "block", F.transform("p", lambda x: x["doc_id"]).alias("doc_ids"), "n_words", F.array_join(F.transform("p", lambda x: x["text"]), " ").alias("text"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents as often as the mix takes their words, rounded: none, one or two times."""
-    taken = mix(docs, **options).groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
-    times = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + F.lit(0.5)).cast("int")
-    plan = durable(taken.select(F.col("doc_id").alias("mixed_id"), times.alias("mix_times")).where("mix_times > 0"), "mix-plan")
-    joined = sized_join(docs, plan, docs["doc_id"].eqNullSafe(F.col("mixed_id")), "inner", 24)
+def mixed_documents(docs: DataFrame, share: float = 1.5, cap: float = 2.0, cycle=CYCLE, seed: int = 17) -> DataFrame:
+    """The documents as often as the mix takes their words, on average: the whole times, and once more by the rest as chance."""
+    key = row_key(*(docs[c] for c in docs.columns))
+    taken = _taken(*_mixed_pieces(docs, share, cap, cycle, seed, key)).where("taken > 0")
+    chance = F.shiftrightunsigned(F.xxhash64("s", "at", F.lit(seed + 1)), 11).cast("double") / float(1 << 53)  # the place is a row's own
+    times = F.floor(F.col("taken") / F.col("size") + chance).cast("int")
+    plan = taken.groupBy("key").agg(F.sum(times).cast("int").alias("mix_times"), F.count("*").alias("mix_rows")).where("mix_times > 0")
+    plan = durable(plan.withColumnRenamed("key", "mix_key"), "mix-plan")
+    joined = _planned(docs, key, plan, 24)
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*(docs[c] for c in docs.columns))
 
 

@@ -114,6 +114,19 @@ def test_mixed_blocks(spark, docs, nothing):
     assert chunks == [(0, 0, [1], [5]), (0, 4, [1, 2], [5, 7]), (1, 0, [0, 2], [3, 4])]
 
 
+def test_mixed_documents_long(spark):
+    rows = [(i, " ".join(["w"] * 3000) + f" {i}", "a") for i in range(300)] + [(1000 + i, f"short {i}", "b") for i in range(40)]
+    rows += [(2000, "equal row", "b")] * 3 + [(None, f"null id {i} " + "x " * 500, "b") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = mixing.mix(df, cycle=(1.0, 10.0), share=0.3, cap=2.5).toPandas()
+    out = mixing.mixed_documents(df, cycle=(1.0, 10.0), share=0.3, cap=2.5).toPandas()
+    for s, slack in (("a", 0.3), ("b", 0.2)):
+        want, got = taken[taken.source == s].taken.sum(), out[out.source == s].text.str.split().str.len().sum()
+        assert want and abs(got / want - 1) < slack, (s, want, got)
+    null = out[out.doc_id.isna()]
+    assert null.text.nunique() > 1 and null.groupby("text").size().nunique() > 1  # rows of a null id are drawn each for itself
+
+
 def test_sharding(docs, nothing):
     rows = sharding.shard_documents(docs).collect()
     assert len(rows) == len(ODD)
