@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from condensa.llm._kit import durable, sized_join, windows_hash, word_hashes
+from condensa.llm._kit import durable, row_key, sized_join, windows_hash, word_hashes
 
 #: 1 keeps a word position, 0 ignores it.
 MASKS = ("11111111", "1101100111", "11010110011", "101101001101", "1110100101011")
@@ -129,9 +129,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_WORDS, sh
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without an overlap."""
-    hit = durable(overlaps(docs, benchmark).select(F.col("doc_id").alias("hit")).distinct(), "decontaminate")
-    return sized_join(docs, hit, docs["doc_id"].eqNullSafe(F.col("hit")), "left_anti", 16)
+    """The rows without an overlap."""
+    keyed = docs.select(row_key(docs["doc_id"], docs["text"]).alias("doc_id"), "text")
+    hit = durable(overlaps(keyed, benchmark).select(F.col("doc_id").alias("hit")).distinct(), "decontaminate")
+    return sized_join(docs, hit, row_key(docs["doc_id"], docs["text"]) == F.col("hit"), "left_anti", 16)
 
 
 def op3_decontaminate(spark, sf_dir):

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from condensa.llm._kit import components, durable, local_roots, sized_join, sorted_groups, windows_hash, word_hashes
+from condensa.llm._kit import components, durable, local_roots, row_key, sized_join, sorted_groups, windows_hash, word_hashes
 
 #: Members of a token group or cell that one task compares at once.
 BLOCK = 8192
@@ -384,11 +384,15 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that a linked document of a smaller id stands for."""
-    found = durable(ngram_jaccard(docs, width, percent), "jaccard-found")
-    gone = durable(found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone")).distinct(), "jaccard-gone")
-    kept = sized_join(docs, gone, docs["doc_id"].eqNullSafe(F.col("gone")), "left_anti", 16)
-    again = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    """The rows without those that a linked row of a smaller id (null last), or of the same id, stands for."""
+    rows = docs.select(row_key(docs["doc_id"], docs["text"]).alias("row"), "doc_id")
+    found = ngram_jaccard(docs.select(row_key(docs["doc_id"], docs["text"]).alias("doc_id"), "text"), width, percent)
+    found = durable(found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), "jaccard-found")
+    groups = found.distinct().join(rows.distinct(), "row")
+    stay = groups.groupBy("group").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "row")).alias("x")).select("x.row")
+    gone = durable(groups.select("row").subtract(stay).withColumnRenamed("row", "gone"), "jaccard-gone")
+    kept = sized_join(docs, gone, row_key(docs["doc_id"], docs["text"]) == F.col("gone"), "left_anti", 16)
+    again = found.groupBy("row").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if again else kept
 
 

@@ -160,6 +160,23 @@ def test_decontaminate(spark, docs, nothing):
     assert decontaminate.clean_documents(docs, bench).count() == len(ODD) and decontaminate.overlaps(nothing, bench).count() == 0
 
 
+def test_filters_by_row(spark):
+    """Rows that share a null or equal id are judged each for itself."""
+    words = [f"w{i}" for i in range(40)]
+    one, other = " ".join(words), " ".join(f"v{i}" for i in range(40))
+    near = other + " end"
+    rows = [(1, one), (None, one), (None, "clean text of its own here now"), (None, None), (5, other), (5, "another clean text under an id"), (6, near), (7, near)]
+    schema = "doc_id long, text string"
+    kept = sorted(map(tuple, ngram_jaccard.keep_one(spark.createDataFrame(rows, schema)).collect()), key=str)
+    assert kept == sorted([rows[0], rows[2], rows[3], rows[4], rows[5]], key=str)
+    alike = [(None, other), (None, near), (8, one), (8, one + " end"), (9, "x"), (9, "x")]
+    kept = ngram_jaccard.keep_one(spark.createDataFrame(alike, schema)).collect()
+    assert sorted(r["doc_id"] or 0 for r in kept) == [0, 8, 9]
+    bench = spark.createDataFrame([(9, one)], "item_id long, text string")
+    clean = sorted(map(tuple, decontaminate.clean_documents(spark.createDataFrame(rows, schema), bench).collect()), key=str)
+    assert clean == sorted(rows[2:], key=str)
+
+
 def test_secrets(docs, nothing):
     row = secrets.digest(secrets.find_secrets(docs)).where("doc_id = 6").first()
     text = dict(ODD)[6]
