@@ -1,17 +1,16 @@
 """Operator 9: personal data by a semi-Markov conditional random field.
 
 Fixed patterns give the base spans (email, ip, card, phone).  Around every place
-with a trigger (a digit, an at sign, a title or address word) the line is cut into
-tokens, and every run of at most MAX_TOKENS tokens is a candidate segment of each
-type, scored by features of the whole span: its shape, lengths and digit counts,
+with a trigger (a digit, an at sign or a title) the line is cut into tokens, and
+every run of at most MAX_TOKENS tokens is a candidate segment of each type, scored by features of the whole span: its shape, lengths and digit counts,
 checksums, octet ranges, the words before it.  A bounded dynamic program picks
 the best segmentation, boundaries and types together.  The weights are trained here
 by the averaged structured perceptron on generated sentences with known spans.
 What the field finds outside the base spans is added; base spans always stay.
 
 Defined results: null and empty texts have no spans and the digest of no bytes;
-texts of any length are read whole, line by line, lines in overlapping windows of
-tokens around the triggers only; repeated rows give equal rows; other columns are
+texts of any length are read whole, line by line, lines in windows of tokens around
+the triggers only, so wide that every candidate holding a trigger lies within one; repeated rows give equal rows; other columns are
 not read.  Spans are code-point offsets, end exclusive.
 """
 
@@ -26,9 +25,8 @@ from pyspark.sql import DataFrame
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "person", "address")
+#: Most tokens of a candidate, and tokens kept on each side of a trigger.
 MAX_TOKENS = 8
-#: Tokens kept on each side of a trigger; windows that touch are joined.
-REACH = 5
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -220,29 +218,43 @@ def train(sentences: int = 400, passes: int = 3, seed: int = 7) -> dict:
     return {f: x for f, v in w.items() if (x := v - total[f] / (step + 1))}
 
 
+def _tokens_before(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The last MAX_TOKENS tokens of text[start:end]; what is read grows until they are whole."""
+    reach = 16 * MAX_TOKENS
+    while True:
+        lo = max(start, end - reach)
+        tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, lo, end)]
+        if lo == start:
+            return tokens[-MAX_TOKENS:]
+        if len(tokens) > MAX_TOKENS:  # the first one may be cut
+            return tokens[-MAX_TOKENS:]
+        reach *= 2
+
+
+def windows(text: str):
+    """Token runs within lines: MAX_TOKENS on each side of every trigger; runs that meet are one."""
+    m = _TRIGGER.search(text)
+    while m:
+        start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.start())
+        end = len(text) if end < 0 else end
+        tokens = _tokens_before(text, start, m.start())
+        last = len(tokens)  # the tokens up to the last trigger's end
+        for t in _TOKEN.finditer(text, m.start(), end):
+            while m and m.end() <= t.start():
+                m = _TRIGGER.search(text, m.end())
+            tokens.append((t.start(), t.end()))
+            if m and m.start() < t.end():
+                last = len(tokens)
+            elif len(tokens) >= last + 2 * MAX_TOKENS:
+                break
+        tokens = tokens[: last + MAX_TOKENS]
+        yield tokens
+        m = _TRIGGER.search(text, tokens[-1][1])
+
+
 def field_spans(weights: dict, text: str) -> list[tuple[str, int, int]]:
     """Spans that the field finds in the windows around triggers."""
-    out, done = [], 0
-    for m in _TRIGGER.finditer(text):
-        if m.start() < done:
-            continue
-        line_start = text.rfind("\n", 0, m.start()) + 1
-        line_end = text.find("\n", m.start())
-        line_end = len(text) if line_end < 0 else line_end
-        lo = max(done, line_start, m.start() - 16 * REACH)
-        hi = m.end()
-        while True:  # triggers within reach share a window
-            nxt = _TRIGGER.search(text, hi, min(line_end, hi + 8 * REACH))
-            if not nxt:
-                break
-            hi = nxt.end()
-        tokens = token_spans(text[lo : min(line_end, hi + 16 * REACH)], lo)
-        first = next((i for i, t in enumerate(tokens) if t[1] > m.start()), len(tokens))
-        last = next((i for i, t in enumerate(tokens) if t[0] >= hi), len(tokens))
-        tokens = tokens[max(0, first - REACH) : last + REACH]
-        out += segment(weights, text, tokens)
-        done = tokens[-1][1] if tokens else m.end()
-    return out
+    return [x for tokens in windows(text) for x in segment(weights, text, tokens)]
 
 
 def find(weights: dict, text: str) -> tuple[list, list]:

@@ -213,6 +213,23 @@ def test_pii(docs, nothing):
     assert hits >= 0.9 * sum(len(gold) for _, gold in made)  # lines that the training never saw
 
 
+def test_pii_windows():
+    gap = " ".join(f"word{c}" for c in "abcdefghijklmnopqrstuvwxyz")
+    lines = ["12 North Martin Luther King Jr Boulevard", "Prof. Anna-Maria von der Leyen", "1987 administration representatives congratulated neighbourhood 12 Station Road", "a" * 900 + " Dr. Who", gap + " 7 " + gap + " @x and mr smith", "no trigger here", "5"]
+    for text in [*lines, "\n".join(lines), " ".join(lines)]:
+        runs = list(pii.windows(text))
+        held = [t for w in runs for t in w]
+        assert held == sorted(set(held))
+        for line in range(text.count("\n") + 1):
+            start = sum(len(x) + 1 for x in text.split("\n")[:line])
+            tokens = pii.token_spans(text.split("\n")[line], start)
+            for i, j in ((i, j) for i in range(len(tokens)) for j in range(i + 1, min(len(tokens), i + pii.MAX_TOKENS) + 1)):
+                if any(tokens[i][0] < m.end() and m.start() < tokens[j - 1][1] for m in pii._TRIGGER.finditer(text)):
+                    assert any(tokens[i] in w and tokens[j - 1] in w for w in runs), text[tokens[i][0] : tokens[j - 1][1]]
+    w = pii.train()
+    assert ("address", 64, 79) in pii.find(w, lines[2])[1] and pii.find(w, lines[0])[1] == [("address", 0, 40)]
+
+
 def test_toxicity(spark, docs, nothing):
     auto = toxicity.LexiconAutomaton({"idiot": True, "veju": False})
     assert auto.match("idiot") == (("idiot", 0),) and auto.match("idot") == auto.match("idiiot") == auto.match("idiat") == (("idiot", 1),)
