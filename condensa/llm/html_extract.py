@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One whole attribute: its name and its value in double, single or no quotes.
+_ATTR = re.compile(r"([^\s\"'>/=][^\s\"'>/=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 _SENTENCE = re.compile(r"[.!?…](?:\s|\Z)")
 _WORDS = re.compile(r"[a-z]+")
@@ -32,6 +33,8 @@ _WORDS = re.compile(r"[a-z]+")
 #: Elements whose content is never text of the page.
 SKIPPED = frozenset("script style noscript template iframe object svg math canvas head title select option textarea button audio video map datalist".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
+#: Elements that may stand in a page's head; any other one, or text, ends it.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that stand for boilerplate or content, with the weight of their evidence.
@@ -56,8 +59,10 @@ class Block:
 def _attributes(raw: str, inside: bool) -> tuple[float, bool, bool]:
     """(evidence, hidden, marked) of an element's attributes."""
     score, hidden, marked = 0.0, False, False
+    values: dict[str, str] = {}
     for name, a, b, c in _ATTR.findall(raw):
-        name, value = name.lower(), (a or b or c).lower()
+        values.setdefault(name.lower(), (a or b or c).lower())  # the first of a name counts
+    for name, value in values.items():
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             hidden = True
         elif name == "style":
@@ -78,8 +83,14 @@ def blocks_of(page: str) -> list[Block]:
     stack = [("", 0.0, 0, False, False, False)]
     n_elements, at, cur = 0, 0, None
 
+    def end_head():
+        while stack[-1][0] == "head":
+            stack.pop()
+
     def text(piece: str):
         nonlocal cur
+        if stack[-1][0] == "head" and piece.strip():
+            end_head()
         top = stack[-1]
         if top[3] or not piece:
             return
@@ -105,6 +116,8 @@ def blocks_of(page: str) -> list[Block]:
             continue
         name = name.lower()
         if m.group(1):
+            if stack[-1][0] == "head" and name in ("body", "html", "br"):
+                end_head()
             if name not in INLINE:
                 cur = None
             for i in range(len(stack) - 1, 0, -1):
@@ -114,6 +127,8 @@ def blocks_of(page: str) -> list[Block]:
                 if stack[i][0] in ("article", "main", "body", "nav", "aside", "footer", "table") and name in INLINE | {"p", "li"}:
                     break
             continue
+        if stack[-1][0] == "head" and name not in HEAD:
+            end_head()
         if name == "br":
             if cur is not None:
                 cur.parts.append(" ")

@@ -258,6 +258,16 @@ def test_html(spark):
     assert [(r["page_id"], r["n_chars"]) for r in html_extract.extract(df).orderBy("page_id").collect()] == [(1, 34), (2, 0)]
 
 
+def test_html_attributes_and_head():
+    for attrs in ('data-x="a" data-overflow="hidden"', 'title="The hidden gem"', 'data-href="https://x.org/hidden-valley"', "data-to='/p?id=comments'", "data-url=/p?class=nav", 'class="a" class="comments"'):
+        assert html_extract.main_text(f"<article {attrs}><p>First text. Second text.</p></article>") == "First text. Second text.", attrs
+    for attrs in ("hidden", 'id="x"hidden', 'HIDDEN=""', 'aria-hidden="true"', "style='display: none'", "class=comments", "role = navigation"):
+        assert html_extract.main_text(f"<p>Kept words of a page. They stay.</p><div {attrs}><p>Gone words.</p></div>") == "Kept words of a page. They stay.", attrs
+    for head in ("<html><head><title>T</title><body>", "<head><meta charset=utf-8><link href=x><script>a</script>", "<head><title>T</title></head><body>"):
+        assert html_extract.main_text(head + "<p>Kept words of a page. They stay.</p>") == "Kept words of a page. They stay.", head
+    assert html_extract.main_text("<head><title>T</title>Bare words of a page. They stay.") == "Bare words of a page. They stay."
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
