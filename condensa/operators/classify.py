@@ -82,7 +82,8 @@ def _json_kind(text: Column) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: json_kind(t) if t and t.lstrip()[:1] in ("{", "[") else None)
 
-    return run(text)
+    # only texts that can open with a brace or bracket are sent to Python
+    return run(F.when(F.contains(text, F.lit("{")) | F.contains(text, F.lit("[")), text))
 
 
 def content_type(text: Column, maybe_json: bool = True) -> Column:

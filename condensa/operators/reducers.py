@@ -138,6 +138,16 @@ def turn_score(raw: str, index: int, total: int) -> float:
     return min(score, 1.0)
 
 
+def scored_turn(raw: Column, index: Column, total: Column) -> Column:
+    """turn_score of a column of turns; a null text has recency only."""
+
+    @F.pandas_udf("double")
+    def run(texts: pd.Series, at: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([turn_score(t or "", i, k) for t, i, k in zip(texts, at, n, strict=True)], dtype="float64")
+
+    return run(raw, index, total)
+
+
 def trim_turn(rows: list[str], level: str) -> str:
     most, out, fenced = LIMITS["turn_lines"][level], [], False
     if len(rows) <= most:

@@ -72,7 +72,7 @@ _TYPE = f"""CASE WHEN strlen(trim(text)) < 10 THEN 'unknown'
 
 @query(f"SELECT doc_id, {_TYPE} AS content_type FROM documents")
 def detect_type(spark, d):
-    return docs(spark, d).select("doc_id", C.content_type(F.col("text"), maybe_json=False).alias("content_type"))
+    return docs(spark, d).select("doc_id", C.content_type(F.col("text")).alias("content_type"))
 
 
 @query(f"SELECT page_id, ({_LANG.replace('text', 'html')}) AS language FROM pages")
@@ -95,7 +95,7 @@ def language_by_path(spark, d):
 @query(f"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'command_output' WHEN 1 THEN 'code:rust' ELSE {_TYPE} END AS content_type FROM documents")
 def route_by_tool(spark, d):
     tool = F.element_at(F.array(*map(F.lit, ["Bash", "Edit", "Read", "Other"])), (F.col("doc_id") % 4 + 1).cast("int"))
-    return docs(spark, d).select("doc_id", C.type_of_tool(tool, F.col("text"), maybe_json=False).alias("content_type"))
+    return docs(spark, d).select("doc_id", C.type_of_tool(tool, F.col("text")).alias("content_type"))
 
 
 _ANSI_TEXT = "chr(27) || '[32m' || event_type || chr(27) || '[0m ' || user_id"
@@ -167,11 +167,10 @@ _TURNS = f"SELECT conv_id, turn, role, CASE role WHEN 'user' THEN 'User' WHEN 'a
  + CASE WHEN contains(text, '.rs') OR contains(text, '.ts') OR contains(text, '.py') OR contains(text, '.js') OR contains(text, '/src/') THEN 0.15 ELSE 0.0 END
  + CASE WHEN contains(text, 'error') OR contains(text, 'Error') OR contains(text, 'failed') OR contains(text, 'FAILED') OR contains(text, 'panic') THEN 0.25 ELSE 0.0 END AS score FROM ({_TURNS})""")
 def turn_scores(spark, d):
-    """Recency, paths and errors of the turns, by native columns (the data hold no other signals)."""
+    """All signals of a turn's score (the SQL has recency, paths and errors: the data hold no other signals)."""
     w = Window.partitionBy("conv_id")
     rows = table(spark, d, "conversations").withColumn("i", F.row_number().over(w.orderBy("turn", "text")) - 1).withColumn("n", F.count("*").over(w))
-    has = lambda *xs: F.col("text").rlike("|".join(x.replace(".", r"\.") for x in xs))
-    score = (F.col("i").cast("double") / F.col("n")) * 0.3 + F.when(has(".rs", ".ts", ".py", ".js", "/src/"), 0.15).otherwise(0.0) + F.when(has("error", "Error", "failed", "FAILED", "panic"), 0.25).otherwise(0.0)
+    score = reducers.scored_turn(F.col("text"), F.col("i"), F.col("n"))
     return rows.select("conv_id", "turn", score.alias("score"))
 
 

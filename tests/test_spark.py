@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from condensa.functions import text as T
-from condensa.operators import budget, classify, diffs
+from condensa.operators import budget, classify, diffs, reducers
 from condensa.plans import catalogue
 from condensa.sources import store
 from condensa.streaming import service
@@ -27,6 +27,20 @@ def test_types(spark, text, kind):
     assert spark.createDataFrame([(text,)], "s string").select(classify.content_type(F.col("s"))).first()[0] == kind
 
 
+def test_full_operators(spark, tmp_path):
+    """Signals that the given tables do not hold, against the row functions."""
+    texts = ['{"a": [1, 2, 3], "b": null}', '{"name":"x","input_schema":{}}', "  [1,2,3,4,5]", "{broken json text", "plain words of a text", None]
+    spark.createDataFrame([(4 * i + 3, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = ["json", "mcp_schema", "json", "unknown", "unknown"]
+    for name in ("detect_type", "route_by_tool"):
+        got = {r["doc_id"]: r["content_type"] for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert [got[4 * i + 3] for i in range(5)] == want
+    turns = ["hi", "```x```", "I'll do it", "Let's see", "src\\src\\a", "a.rs error", "``` I'll fix a.py: error", None]
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(turns)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["turn"]: r["score"] for r in catalogue.QUERIES["turn_scores"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({i: reducers.turn_score(t or "", i, len(turns)) for i, t in enumerate(turns)}) and got[6] == 1.0
+
+
 def test_diff_encoding(spark):
     df = spark.createDataFrame([("a" * 64, "x\ny")], "h string, d string").withColumn("e", diffs.encode(F.col("h"), F.col("d")))
     assert tuple(df.select(diffs.parse_encoded(F.col("e"))).first()[0]) == ("a" * 64, "x\ny")
