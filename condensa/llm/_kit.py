@@ -18,23 +18,50 @@ BROADCAST_BYTES = 8 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that the cluster names; a temporary one only in local mode (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    own = spark.sparkContext.getCheckpointDir()
-    if own is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="condensa-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="condensa-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of a path, as the JVM has them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def durable(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it again, which cuts its lineage."""
+    """Write df to the shared folder and read it again, which cuts its lineage.
+
+    The table goes when the application ends, or before that by forget().
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, where = _hadoop(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete durable tables that nothing reads any more."""
+    for t in tables:
+        files, where = _hadoop(t.sparkSession, t._durable_path)
+        files.delete(where, True)
+
+
+def free_name(name: str, *tables: DataFrame) -> str:
+    """The name, lengthened until no column of the tables has it."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def sized_join(left: DataFrame, right: DataFrame, on, how: str, row_bytes: int = 64) -> DataFrame:
@@ -54,9 +81,42 @@ def buckets(rows: int, per_bucket: int = 20_000) -> int:
     return max(1, -(-rows // per_bucket))
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+#: Places of the bitmap that keeps rows without a partner out of a shuffle, as 2^20 words of 64 bits: its size is fixed.
+FILTER_WORD_BITS = 20
+
+
+def may_be_in(df: DataFrame, key: str, kept: DataFrame) -> DataFrame:
+    """The rows of df whose key may be a key of kept, by a bitmap of hashed keys.
+
+    It has at most 2^FILTER_WORD_BITS rows at every size, so it can be broadcast;
+    the more keys are kept the more rows pass, and the join that follows is exact.
+    """
+    place = F.xxhash64(key)
+    word, bit = F.shiftrightunsigned(place, 64 - FILTER_WORD_BITS), place.bitwiseAND(F.lit(63)).cast("int")
+    name, at, mask = (free_name(x, df) for x in ("word", "bit", "mask"))
+    words = kept.select(word.alias(name), bit.alias(at)).groupBy(name).agg(F.expr(f"bit_or(shiftleft(1L, {at}))").alias(mask))
+    passed = df.withColumn(name, word).withColumn(at, bit).join(F.broadcast(words), name)
+    return passed.where(f"shiftright({mask}, {at}) & 1 = 1").select(*df.columns)
+
+
+def held_join(left: DataFrame, right: DataFrame, key: str, row_bytes: int = 64) -> DataFrame:
+    """Inner join of wide rows with a durable right side: broadcast below BROADCAST_BYTES, else only rows that may meet are shuffled."""
+    if right.count() * row_bytes <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right), key)
+    return may_be_in(left, key, right).join(right, key)
+
+
+def without(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """The rows of df whose key is not in the one column of the durable table gone; columns of any name stay."""
+    name = free_name("gone", df)
+    return sized_join(df, gone.toDF(name), key == F.col(name), "left_anti", 16)
+
+
+def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, root) of an undirected edge list (a, b): root is the smallest node reached.
 
+    The rounds end when nothing changes; an unfinished result is an error, never returned.
+
     Alternating large-star and small-star rounds; each round is written to the
     shared folder, so lost executors cost one round at most.  A hub is reduced by
     a partial minimum before anything is joined to it.
@@ -69,15 +129,19 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low2, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        cur = durable(moved.unionByName(low2.withColumnRenamed("m", "b")).distinct(), "cc")
+        last, cur = cur, durable(moved.unionByName(low2.withColumnRenamed("m", "b")).distinct(), "cc")
+        forget(last)
         mark = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if mark == seen:
             break
         seen = mark
+    else:
+        raise RuntimeError(f"components: not settled after {max_rounds} rounds")
     return cur.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
+def word_hashes(words: list) -> np.ndarray:
+    """64-bit hashes of words; a str counts as its UTF-8 bytes."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 

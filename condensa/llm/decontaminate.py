@@ -12,30 +12,33 @@ passes and never more memory.
 Defined results: null or empty texts match nothing; items with fewer words than
 the shortest mask are compared whole only if the words stand consecutively;
 repeated documents and items give rows each; ties between stretches go to the
-longer, then the earlier one.
+longer, then the earlier one; texts of any length are read whole; empty tables give
+no rows, or leave the documents as they are; extra columns are not read and pass
+clean_documents whatever their names.  Ids stay in the JVM, so none is rounded.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from condensa.llm._kit import durable, row_key, sized_join, windows_hash, word_hashes
+from condensa.llm._kit import durable, row_key, windows_hash, without, word_hashes
 
 #: 1 keeps a word position, 0 ignores it.
 MASKS = ("11111111", "1101100111", "11010110011", "101101001101", "1110100101011")
-#: A match needs this many aligned words (or the whole item), this share of them equal.
-LEAST_WORDS, LEAST_EQUAL = 13, 0.8
+#: A match needs this many aligned words (or the whole item), this percentage of them equal.
+LEAST_WORDS, LEAST_EQUAL = 13, 80
 SLICE_WORDS = 2_000_000
 _WORD = re.compile(r"[^\W_]+")
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return [w.encode() for w in _WORD.findall((text or "").lower())]
+def tokens(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
 
 
 def mask_offsets(n: int) -> list[list[int]]:
@@ -44,19 +47,25 @@ def mask_offsets(n: int) -> list[list[int]]:
     return fit or [list(range(n))]
 
 
-def best_stretch(same: np.ndarray, least: int, share: float) -> tuple[int, int, int] | None:
-    """(length, start, equal) of the longest stretch, ends equal, with at least `share` equal words."""
+def best_stretch(same: np.ndarray, least: int, percent: int) -> tuple[int, int, int] | None:
+    """(length, start, equal) of the longest stretch, ends equal, with at least percent of its words equal.
+
+    A stretch from the a-th to the b-th equal word is dense enough if the surplus at b
+    lies at most 100 - percent below that at a; the smallest such a is found by bisecting
+    the running minima of the surplus, so time and memory grow with the overlap only.
+    """
     at = np.flatnonzero(same)
     if not len(at):
         return None
-    total = np.r_[0, np.cumsum(same)]
-    length = at[None, :] - at[:, None] + 1
-    equal = total[at + 1][None, :] - total[at][:, None]
-    ok = (length >= least) & (equal >= share * length)
-    if not ok.any():
+    surplus = 100 * np.arange(len(at), dtype=np.int64) - percent * at
+    lowest = np.minimum.accumulate(surplus)
+    # lowest falls: the first a with lowest[a] <= surplus[b] + 100 - percent
+    first = np.searchsorted(-lowest, -(surplus + 100 - percent), side="left")
+    length = at - at[first] + 1
+    j = int(np.argmax(length))  # the first of equal lengths starts first
+    if length[j] < least:
         return None
-    i, j = np.unravel_index(np.argmax(np.where(ok, length, 0)), ok.shape)
-    return int(length[i, j]), int(at[i]), int(equal[i, j])
+    return int(length[j]), int(at[first[j]]), int(j - first[j] + 1)
 
 
 class SeedIndex:
@@ -76,7 +85,7 @@ class SeedIndex:
             order = np.argsort(x, kind="stable")
             self.tables[off] = (x[order], n[order], p[order])
 
-    def match(self, h: np.ndarray, least: int, share: float) -> dict[int, tuple[int, int, int]]:
+    def match(self, h: np.ndarray, least: int, percent: int) -> dict[int, tuple[int, int, int]]:
         """Item number -> (words, start in the document, equal words)."""
         diagonals = set()
         for off, (x, n, p) in self.tables.items():
@@ -94,45 +103,59 @@ class SeedIndex:
         for n, shift in sorted(diagonals):
             item = self.words[n]
             a, b = max(0, -shift), min(len(item), len(h) - shift)
-            got = best_stretch(item[a:b] == h[a + shift : b + shift], min(least, len(item)), share)
+            got = best_stretch(item[a:b] == h[a + shift : b + shift], min(least, len(item)), percent)
             if got and (n not in out or (got[0], -(a + shift + got[1])) > (out[n][0], -out[n][1])):
                 out[n] = (got[0], a + shift + got[1], got[2])
         return out
 
 
-def _scan(sent, least: int, share: float):
-    def run(batches):
-        index = SeedIndex(sent.value)
-        for pdf in batches:
-            out = []
-            for i, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
-                h = word_hashes(tokens(t))
-                if len(h):
-                    out += [(None if pd.isna(i) else int(i), index.ids[n], length, start, equal) for n, (length, start, equal) in index.match(h, least, share).items()]
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_words", "first_word", "n_equal"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+#: The index of the slice that this Python worker read last; tasks that follow share it.
+_READY: dict[str, SeedIndex] = {}
+
+
+def _index_of(name: str, items: list[tuple[int, str]]) -> SeedIndex:
+    if name not in _READY:
+        _READY.clear()
+        _READY[name] = SeedIndex(items)
+    return _READY[name]
+
+
+def _matches(sent, least: int, percent: int):
+    name = uuid.uuid4().hex
+
+    @F.pandas_udf("array<struct<item_id:bigint,n_words:int,first_word:int,n_equal:int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        index, out = _index_of(name, sent.value), []
+        for t in texts:
+            h = word_hashes(tokens(t))
+            found = index.match(h, least, percent) if len(h) else {}
+            out.append([{"item_id": index.ids[n], "n_words": length, "first_word": start, "n_equal": equal} for n, (length, start, equal) in found.items()] or None)
+        return pd.Series(out, dtype=object)
 
     return run
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_WORDS, share: float = LEAST_EQUAL) -> DataFrame:
-    """doc_id, item_id, n_words, first_word, n_equal: each document's best overlap with each item it meets."""
+def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_WORDS, percent: int = LEAST_EQUAL, key: Column | None = None) -> DataFrame:
+    """doc_id (or key), item_id, n_words, first_word, n_equal: each document's best overlap with each item it meets."""
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").where("text is not null")
     words = items.agg(F.sum(F.length("text") / 4 + 1)).first()[0] or 0
     slices = max(1, int(-(-words // SLICE_WORDS)))
-    found = None
+    mine, found = F.col("doc_id") if key is None else key.alias("key"), None
     for i in range(slices):
         part = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == i).collect()]
-        got = docs.select("doc_id", "text").mapInPandas(_scan(spark.sparkContext.broadcast(part), least, share), "doc_id long, item_id long, n_words int, first_word int, n_equal int")
+        matches = _matches(spark.sparkContext.broadcast(part), least, percent)
+        got = docs.select(mine, F.explode(matches("text")).alias("m"))  # explode drops texts without matches
+        got = got.select(got.columns[0], "m.item_id", "m.n_words", "m.first_word", "m.n_equal")
         found = got if found is None else found.unionByName(got)
     return found
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows without an overlap."""
-    keyed = docs.select(row_key(docs["doc_id"], docs["text"]).alias("doc_id"), "text")
-    hit = durable(overlaps(keyed, benchmark).select(F.col("doc_id").alias("hit")).distinct(), "decontaminate")
-    return sized_join(docs, hit, row_key(docs["doc_id"], docs["text"]) == F.col("hit"), "left_anti", 16)
+    """The rows without an overlap, with their columns, whatever these are called."""
+    key = row_key(docs["doc_id"], docs["text"])
+    hit = durable(overlaps(docs, benchmark, key=key).select("key").distinct(), "decontaminate")
+    return without(docs, key, hit)
 
 
 def op3_decontaminate(spark, sf_dir):

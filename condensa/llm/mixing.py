@@ -12,7 +12,11 @@ Only one row per source reaches the driver (MAX_SOURCES bounds that).
 
 Defined results: null or empty text has size 0 and is never taken; a null source
 is a source of its own, the last; repeated rows take words each for itself; a
-corpus without words has target 0 everywhere; other columns pass by unread.
+corpus without words, or an empty table, has target 0 everywhere; texts of any length
+are packed whole; other columns are not read.  A block has BLOCK_WORDS words, or a 256th
+of the source where that is less, so that a small source's slots still come near its
+target; a source's last block may be shorter.  A corpus of over MAX_SOURCES sources is
+an error: the targets are one list on the driver.
 """
 
 from __future__ import annotations
@@ -191,15 +195,20 @@ def mixed_blocks(docs: DataFrame, share: float = 1.5, cap: float = 2.0, cycle=CY
 
 
 def mixed_documents(docs: DataFrame, share: float = 1.5, cap: float = 2.0, cycle=CYCLE, seed: int = 17) -> DataFrame:
-    """The documents as often as the mix takes their words, on average: the whole times, and once more by the rest as chance."""
-    key = row_key(*(docs[c] for c in docs.columns))
+    """The documents as often as the mix takes their words, on average: the whole times, and once more by the rest as chance.
+
+    Of rows equal in all columns, one stands for the copies of all.  Columns of any name pass.
+    """
+    names = docs.columns
+    key = row_key(*(docs[c] for c in names))
     taken = _taken(*_mixed_pieces(docs, share, cap, cycle, seed, key)).where("taken > 0")
     chance = F.shiftrightunsigned(F.xxhash64("s", "at", F.lit(seed + 1)), 11).cast("double") / float(1 << 53)  # the place is a row's own
     times = F.floor(F.col("taken") / F.col("size") + chance).cast("int")
     plan = taken.groupBy("key").agg(F.sum(times).cast("int").alias("mix_times"), F.count("*").alias("mix_rows")).where("mix_times > 0")
     plan = durable(plan.withColumnRenamed("key", "mix_key"), "mix-plan")
-    joined = _planned(docs, key, plan, 24)
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*(docs[c] for c in docs.columns))
+    renamed = docs.toDF(*(f"c{i}" for i in range(len(names))))  # the plan's names cannot clash with these
+    joined = _planned(renamed, row_key(*(renamed[c] for c in renamed.columns)), plan, 24)
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*renamed.columns).toDF(*names)
 
 
 def op1_mixing(spark, sf_dir):

@@ -15,8 +15,9 @@ holds an unbounded group; links meet again in the distributed components.
 
 Defined results: null or empty text has no shingles, n_shingles 0, and links with
 nothing; fewer words than the width make one shingle; repeated rows give repeated
-result rows; null doc_id rows take part and are never the smallest id.  Other
-columns of the input are not read.
+result rows; null doc_id rows take part and are never the smallest id; ids stay in
+the JVM, so none is rounded; texts of any length are read whole; an empty table gives
+no rows.  Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -27,14 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from condensa.llm._kit import components, durable, local_roots, row_key, sized_join, sorted_groups, windows_hash, word_hashes
+from condensa.llm._kit import components, durable, held_join, local_roots, may_be_in, row_key, sized_join, sorted_groups, windows_hash, without, word_hashes
 
 #: Members of a token group or cell that one task compares at once.
 BLOCK = 8192
 #: A shingle is heavy from this share of the documents on (and from HEAVY_LEAST on).
 HEAVY_SHARE, HEAVY_LEAST = 1e-3, 16
-#: Places of the bitmap that keeps single shingles out of a shuffle, as 2^20 words of 64 bits: its size is fixed.
-FILTER_WORD_BITS = 20
 #: Shingles that are counted together before a chunk's repeated ones are passed on.
 CHUNK = 2_000_000
 
@@ -109,32 +108,28 @@ def heavy_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _describe(width: int, percent: int, heavy):
-    def run(batches):
+    """Of a text: set size, key, prefix and bitmap of its set; nulls without shingles."""
+
+    @F.pandas_udf("n int, k string, prefix array<long>, bits binary")
+    def run(texts: pd.Series) -> pd.DataFrame:
         tokens, counts = heavy.value
-        for pdf in batches:
-            out = {"doc_id": [], "n": [], "k": [], "prefix": [], "bits": []}
-            for i, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
-                s = shingles(t, width)
-                out["doc_id"].append(None if pd.isna(i) else int(i))
-                out["n"].append(len(s))
-                if not len(s):
-                    out["k"].append(None)
-                    out["prefix"].append(None)
-                    out["bits"].append(None)
-                    continue
-                at = np.searchsorted(tokens, s)
-                at[at == len(tokens)] = 0
-                is_heavy = tokens[at] == s if len(tokens) else np.zeros(len(s), bool)
-                need = prefix_len(len(s), percent)
-                light = s[~is_heavy][:need]
-                if len(light) < need:
-                    h = s[is_heavy]
-                    h = h[np.lexsort((h, counts[at[is_heavy]]))]
-                    light = np.concatenate([light, h[: need - len(light)]])
-                out["k"].append(set_key(s))
-                out["prefix"].append(light.view(np.int64))
-                out["bits"].append(parity_bits(s, percent))
-            yield pd.DataFrame({"doc_id": pd.array(out["doc_id"], dtype="Int64"), "n": out["n"], "k": out["k"], "prefix": out["prefix"], "bits": out["bits"]})
+        out = []
+        for t in texts:
+            s = shingles(t, width)
+            if not len(s):
+                out.append((0, None, None, None))
+                continue
+            at = np.searchsorted(tokens, s)
+            at[at == len(tokens)] = 0
+            is_heavy = tokens[at] == s if len(tokens) else np.zeros(len(s), bool)
+            need = prefix_len(len(s), percent)
+            light = s[~is_heavy][:need]
+            if len(light) < need:
+                h = s[is_heavy]
+                h = h[np.lexsort((h, counts[at[is_heavy]]))]
+                light = np.concatenate([light, h[: need - len(light)]])
+            out.append((len(s), set_key(s), light.view(np.int64), parity_bits(s, percent)))
+        return pd.DataFrame(out, columns=["n", "k", "prefix", "bits"])
 
     return run
 
@@ -328,19 +323,6 @@ def _in_blocks(df: DataFrame, group: str, members: str, key: str) -> DataFrame:
     return df.withColumn("pair", F.explode(pairs)).withColumn("g", F.xxhash64(group, "pair"))
 
 
-def _may_be_kept(post: DataFrame, kept: DataFrame) -> DataFrame:
-    """The posts whose token may be a kept one, by a bitmap of hashed tokens.
-
-    It has at most 2^FILTER_WORD_BITS rows at every size, so it can be broadcast;
-    the more tokens are kept the more posts pass, and the join that follows is exact.
-    """
-    place = F.xxhash64("token")
-    word, bit = F.shiftrightunsigned(place, 64 - FILTER_WORD_BITS).alias("word"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit")
-    words = kept.select(word, bit).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask"))
-    passed = post.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(words), "word")
-    return passed.where("shiftright(mask, bit) & 1 = 1").select(*post.columns)
-
-
 def _with_near_size(rows: DataFrame, percent: int) -> DataFrame:
     """The members of a group g that have another of a size they could be linked with.
 
@@ -357,24 +339,27 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     docs = docs.select("doc_id", "text")
     sc = docs.sparkSession.sparkContext
     heavy = sc.broadcast(heavy_shingles(docs, width))
-    rows = durable(docs.mapInPandas(_describe(width, percent, heavy), "doc_id long, n int, k string, prefix array<long>, bits binary"), "jaccard-rows")
+    described = docs.select("doc_id", F.xxhash64("text").alias("th"), _describe(width, percent, heavy)("text").alias("x"))
+    rows = durable(described.select("doc_id", "th", "x.*"), "jaccard-rows")
     full = rows.where("n > 0")
-    reps = durable(full.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "jaccard-reps")
+    reps = durable(full.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.min("th").alias("th"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "jaccard-reps")
     # up to the exact search a set goes by 64 bits of its key: a clash joins two cells, no more
     reps_r = reps.withColumn("r", F.xxhash64("k"))
     post = reps_r.select(F.explode("prefix").alias("token"), "r", "n")
     tokens = post.groupBy("token").agg(F.count("*").cast("int").alias("v"), F.bit_xor("r").alias("x"), F.bit_xor(F.xxhash64("r")).alias("y")).where("v > 1")
     kept = durable(tokens.groupBy("v", "x", "y").agg(F.min("token").alias("token")).select("token", "v"), "jaccard-tokens")
-    members = sized_join(_may_be_kept(post, kept), kept, "token", "inner", 24)
+    members = sized_join(may_be_in(post, "token", kept), kept, "token", "inner", 24)
     near = _with_near_size(_in_blocks(members, "token", "v", "r").select("g", "r", "n"), percent)
     shipped = near.join(reps_r.select("r", "bits"), "r").select("g", "r", "n", "bits")
     close = shipped.repartition("g").sortWithinPartitions("g").mapInPandas(_group_edges(percent), "a long, b long")
     cells = components(close).withColumnRenamed("node", "r").withColumnRenamed("root", "cell")
     cells = cells.unionByName(cells.select(F.col("cell").alias("r"), "cell").distinct())
     sizes = cells.groupBy("cell").agg(F.count("*").alias("m"))
-    want = durable(cells.join(sizes, "cell").join(reps_r.select("r", "k", "doc_id"), "r").drop("r"), "jaccard-cells")
-    texts = sized_join(docs.where("text is not null").withColumnRenamed("doc_id", "d"), want, F.col("d").eqNullSafe(F.col("doc_id")), "inner", 120)
-    exact = _in_blocks(texts.select("cell", "m", "k", "text"), "cell", "m", "k").select("g", "k", "text").repartition("g").sortWithinPartitions("g").mapInPandas(_cell_edges(width, percent), "a string, b string")
+    want = durable(cells.join(sizes, "cell").join(reps_r.select("r", "k", "th"), "r").drop("r"), "jaccard-cells")
+    # one text of each set: copies are dropped where they lie, before any is shipped
+    held = held_join(docs.where("text is not null").select(F.xxhash64("text").alias("th"), "text"), want, "th", 120)
+    texts = held.groupBy("k").agg(F.first("cell").alias("cell"), F.first("m").alias("m"), F.first("text").alias("text"))
+    exact = _in_blocks(texts, "cell", "m", "k").select("g", "k", "text").repartition("g").sortWithinPartitions("g").mapInPandas(_cell_edges(width, percent), "a string, b string")
     links = components(exact)
     ids = reps.select("k", "doc_id").join(links.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     low = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -384,14 +369,18 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows without those that a linked row of a smaller id (null last), or of the same id, stands for."""
-    rows = docs.select(row_key(docs["doc_id"], docs["text"]).alias("row"), "doc_id")
-    found = ngram_jaccard(docs.select(row_key(docs["doc_id"], docs["text"]).alias("doc_id"), "text"), width, percent)
+    """The rows without those that a linked row of a smaller id (null last), or of the same id, stands for.
+
+    Of equal ids and texts one row stays; columns of any name pass.
+    """
+    key = row_key(docs["doc_id"], docs["text"])
+    rows = docs.select(key.alias("row"), "doc_id")
+    found = ngram_jaccard(docs.select(key.alias("doc_id"), "text"), width, percent)
     found = durable(found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), "jaccard-found")
     groups = found.distinct().join(rows.distinct(), "row")
     stay = groups.groupBy("group").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "row")).alias("x")).select("x.row")
-    gone = durable(groups.select("row").subtract(stay).withColumnRenamed("row", "gone"), "jaccard-gone")
-    kept = sized_join(docs, gone, row_key(docs["doc_id"], docs["text"]) == F.col("gone"), "left_anti", 16)
+    gone = durable(groups.select("row").subtract(stay), "jaccard-gone")
+    kept = without(docs, key, gone)
     again = found.groupBy("row").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if again else kept
 

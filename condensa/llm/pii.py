@@ -22,6 +22,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "person", "address")
@@ -30,7 +31,8 @@ MAX_TOKENS = 8
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A match starts with a run of digits and takes each run whole, so none is read twice.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -267,23 +269,20 @@ def find(weights: dict, text: str) -> tuple[list, list]:
     return base, base + more
 
 
-def _scan(weights):
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for t in pdf["text"]:
-                base, spans = find(weights, t or "")
-                n = [sum(k == kind for k, _, _ in base) for kind in BASE]
-                rows.append((*n, hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans)))
-            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy() if len(pdf) and pdf["doc_id"].isna().any() else pdf["doc_id"].to_numpy())
-            yield out
-
-    return run
-
-
 def find_pii(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").mapInPandas(_scan(train()), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    """doc_id, base counts, checksum of the base spans, all spans as text and their number."""
+    weights = train()
+
+    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            base, spans = find(weights, t or "")
+            n = [sum(k == kind for k, _, _ in base) for kind in BASE]
+            rows.append((*n, hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans), len(spans)))
+        return pd.DataFrame(rows, columns=[*(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans"])
+
+    return docs.select("doc_id", run("text").alias("found")).select("doc_id", "found.*")
 
 
 def op9_pii(spark, sf_dir):

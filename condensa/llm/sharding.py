@@ -7,7 +7,9 @@ shifted by the counts of the sub-buckets before, so no task sees a whole shard.
 
 Defined results: a null doc_id is a key like any other; null text has size 1 and
 the checksum of no bytes; repeated rows go to one shard and get slots of their
-own; other columns of the input are not read.
+own, each in its place of a law that equal keys share; an empty table gives no rows;
+only a text's length and checksum are read, however long; other columns of the input
+are not read by op6 and pass assign_shards, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from condensa.llm._kit import buckets, durable
+from condensa.llm._kit import buckets, durable, free_name
 
 #: 2**53, the draws' resolution.
 STEPS = float(1 << 53)
@@ -54,8 +56,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, weights: list[float] | No
 
 
 def assign_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """Documents with their shard, laid out so that a shard's rows are written together in even tasks."""
-    return docs.withColumn("shard", rendezvous(F.col("doc_id"), [1.0] * shards).cast("int"))
+    """Documents with their shard as one more column: shard, or shard_ where the input has that name already."""
+    return docs.withColumn(free_name("shard", docs), rendezvous(docs["doc_id"], [1.0] * shards).cast("int"))
 
 
 def op6_sharding(spark, sf_dir):
