@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A private-use character marks the cuts; the text's own ones are swapped for another of no word or pattern class.
 CUT, SWAP = "\ue000", "\ue001"
+#: Steps of a running sum: 2^STEPS entries are more than a text can have.
+STEPS = 31
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running_sums(values: Column) -> Column:
+    """Sums of an array's entries up to each place, by doubling steps: time grows as n log n, nothing is copied entry by entry."""
+    def doubled(step: int) -> Callable[[Column], Column]:
+        def use(xs: Column) -> Column:
+            return F.when(F.size(xs) <= step, xs).otherwise(F.transform(xs, lambda x, i: x + F.when(i >= step, F.get(xs, i - step)).otherwise(F.lit(0).cast("bigint"))))
 
+        return use
 
-def match_spans(text: Column, pattern: str, groups: int, piece_ok, kind: str, order: int) -> Column:
+    for k in range(STEPS):
+        values = bound(values, doubled(1 << k))
+    return values
+
+
+def match_spans(text: Column, pattern: str, piece_ok: Callable[[Column], Column], kind: str, order: int) -> Column:
     """Array of struct(start, ord, end, kind) of leftmost non-overlapping matches.
 
     Matches are wrapped in cut marks, the text is split at them, and running
@@ -17,17 +39,18 @@ def match_spans(text: Column, pattern: str, groups: int, piece_ok, kind: str, or
     whether it counts.
     """
     marked = F.regexp_replace(F.translate(text, CUT, SWAP), pattern, f"{CUT}$0{CUT}")
-    pieces = F.split(marked, CUT)
-    empty = F.array().cast("array<struct<start:bigint,ord:int,end:bigint,kind:string>>")
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["pos"] + F.length(piece)
-        span = F.struct(acc["pos"].alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"))
-        hit = acc["odd"] & piece_ok(piece)
-        return F.struct(end.alias("pos"), (~acc["odd"]).alias("odd"), F.when(hit, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def spans(pieces: Column) -> Column:
+        def placed(ends: Column) -> Column:
+            def one(piece: Column, i: Column) -> Column:
+                end = F.get(ends, i)
+                return F.when((i % 2 == 1) & piece_ok(piece), F.struct((end - F.length(piece)).alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind")))
+
+            return F.filter(F.transform(pieces, one), lambda x: x.isNotNull())
+
+        return bound(running_sums(F.transform(pieces, lambda p: F.length(p).cast("bigint"))), placed)
 
-    start = F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit(False).alias("odd"), empty.alias("out"))
-    return F.when(F.size(pieces) > 1, F.aggregate(pieces, start, step, lambda a: a["out"])).otherwise(empty)
+    return bound(F.split(marked, CUT), spans)
 
 
 def listed(spans: Column) -> Column:

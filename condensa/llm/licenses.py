@@ -1,132 +1,151 @@
 """Operator 8 [native]: license scan by a positional rare-token index.
 
-Templates of license notices are indexed by (word, position).  Over all documents
-the document frequency of every template word is counted; a file's rarest (highest
-IDF) template words are looked up, and postings of one template that agree on the
-relative position are intersected.  An alignment with enough agreeing words is
-verified by the template's mandatory key phrase; its label is then added.  Base
-phrases are found at every place in the text.  All steps are DataFrame functions.
+Every text is read once: the places of the words that license notices use, with the
+few words behind a word that may open a phrase.  Over all documents the document
+frequency of each such word is counted, and each notice template is indexed by
+(word, position) of its highest-IDF words.  A file's places are looked up in that
+index, postings of one template that agree on the relative position are intersected,
+and an alignment with enough agreeing words is verified: the template's mandatory key
+phrase has to stand there.  Base phrases are taken at every place.  All steps are
+DataFrame functions; nothing is capped by a file's length, as all places of an indexed
+word are looked up.
 
 Defined results: null and empty texts have 0 words, no labels, score 0 and null
-places; repeated rows give equal rows; ties between alignments go to the larger
-overlap, then the label's name; whole texts are read; other columns are not read.
+places; repeated rows give equal rows; words of equal IDF are indexed by name, ties
+between alignments do not show, as the best share of each label counts; whole texts of
+any length are read; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from condensa.llm._kit import durable, sized_join
-from condensa.llm._spans import CUT, SWAP
+from condensa.llm._spans import SWAP, bound
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Word characters before lower-casing, and what separates words after it.
-WORD, SEPARATOR = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates words once A-Z are lower-cased.
+SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The only other letter whose lower case is an ASCII letter; it is no k here.
+KELVIN = "\u212a"
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: label: (notice words, mandatory key phrase)
-TEMPLATES = {
-    "agpl": ("licensed under the gnu affero general public license version 3", "affero general public license"),
-    "apache-2.0": ("licensed under the apache license version 2 0", "apache license"),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
-    "cc-by": ("licensed under cc by 4 0", "cc by"),
-    "cc-by-nc": ("licensed under cc by nc 4 0", "cc by nc"),
-    "cc-by-sa": ("licensed under cc by sa 4 0", "cc by sa"),
-    "cc0": ("to the extent possible under law the author has waived all copyright cc0", "waived all copyright"),
-    "creative-commons": ("this work is licensed under a creative commons attribution license", "creative commons"),
-    "gpl": ("this work is licensed under the gnu general public license version 3", "general public license"),
-    "lgpl": ("licensed under the gnu lesser general public license version 3", "lesser general public license"),
-    "mit": ("released under the mit license", "mit license"),
-    "mit-text": ("permission is hereby granted free of charge to any person obtaining a copy", "hereby granted free of charge"),
-    "mpl-2.0": ("subject to the terms of the mozilla public license version 2 0", "mozilla public license"),
-    "reserved": ("copyright all rights reserved", "rights reserved"),
-    "unlicense": ("this is free and unencumbered software released into the public domain", "unencumbered software"),
-}
+#: Fixed values: (label, mandatory key phrase, words of the notice).
+TEMPLATES = (
+    ("agpl", "affero general public license", "licensed under the gnu affero general public license version 3"),
+    ("agpl", "affero general public license", "it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("apache-2.0", "apache license", "licensed under the apache license version 2 0"),
+    ("apache-2.0", "apache license", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("artistic-2.0", "artistic license", "licensed under the artistic license 2 0"),
+    ("boost", "boost software license", "distributed under the boost software license version 1 0"),
+    ("bsd", "source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "bsd license", "released under the bsd license"),
+    ("cc-by", "cc by", "licensed under cc by 4 0"),
+    ("cc-by-nc", "cc by nc", "licensed under cc by nc 4 0"),
+    ("cc-by-sa", "cc by sa", "licensed under cc by sa 4 0"),
+    ("cc0", "waived all copyright", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("creative-commons", "creative commons", "this work is licensed under a creative commons attribution license"),
+    ("epl", "eclipse public license", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("gpl", "general public license", "this work is licensed under the gnu general public license version 3"),
+    ("gpl", "general public license", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("isc", "use copy modify and or", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("lgpl", "lesser general public license", "licensed under the gnu lesser general public license version 3"),
+    ("lgpl", "lesser general public license", "it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("mit", "mit license", "released under the mit license"),
+    ("mit-text", "hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
+    ("mpl-2.0", "mozilla public license", "this source code form is subject to the terms of the mozilla public license version 2 0"),
+    ("reserved", "rights reserved", "copyright all rights reserved"),
+    ("unlicense", "unencumbered software", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "without any express or implied", "this software is provided as is without any express or implied warranty"),
+)
 #: Words that any prose has; they take no part in the index.
-COMMON = frozenset("a and any are for in is into of or possible terms the this to use with without work 0 2 3 4".split())
-#: Distinct rarest words looked up for a file (no fewer than the templates have), and agreeing words that make an alignment.
-LOOKUPS, AGREE = 64, 2
+COMMON = frozenset("a and any are as at can except for has in into is it made may not of or possible terms that the this to use with without work you 0 1 2 3 4".split())
+#: Highest-IDF words that a template is indexed by, agreeing words that make an alignment, their least share as a fraction.
+INDEXED, AGREE, SHARE = 8, 2, (2, 3)
+#: Words that a key phrase may stand outside of its alignment, and words of the longest phrase behind its first.
+NEAR, TAIL = 8, max(len(p.split()) for _, p, _ in TEMPLATES) - 1
+
+
+def template_postings() -> list[tuple[int, str, str, int]]:
+    """(template, label, word, position) of all words that may be indexed."""
+    return [(t, label, w, i) for t, (label, _, text) in enumerate(TEMPLATES) for i, w in enumerate(text.split()) if w not in COMMON]
+
+
+def template_phrases() -> list[tuple[int, str, str, int]]:
+    """(template, first word of its key phrase, the words behind it, the template's length)."""
+    return [(t, phrase.split()[0], phrase.partition(" ")[2], len(text.split())) for t, (_, phrase, text) in enumerate(TEMPLATES)]
+
 
+def opens(tail: Column, rest: Column) -> Column:
+    """Whether the words behind a place go on with the rest of a phrase."""
+    return F.startswith(F.concat(tail, F.lit(" ")), F.concat(rest, F.lit(" ")))
 
-def spaced(text: Column) -> Column:
-    """The words, lower-cased, each between single spaces: " w0 w1 ... "."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), SEPARATOR, " ")), F.lit(" "))
 
+def word_places(text: Column) -> Column:
+    """Struct of a text: n (words) and at, the places of template and phrase words as struct(word, pos, tail)."""
+    first = sorted({p.split()[0] for p in (*BASE, *(p for _, p, _ in TEMPLATES))})
+    vocabulary = sorted({w for _, _, w, _ in template_postings()} | set(first))
 
-def may_hold(text: Column, phrases: list[str]) -> Column:
-    """True wherever a phrase can stand; a cheap test on the text as it is."""
-    low, tests = F.lower(text), None
-    for word in sorted({max(p.split(), key=len) for p in phrases}):
-        test = F.contains(low, F.lit(word))
-        if len(word) < 4:  # short words stand inside many others
-            test = test & low.rlike("|".join(SEPARATOR.join(["(?<![0-9a-z])" + p.split()[0], *p.split()[1:]]) for p in sorted(phrases) if max(p.split(), key=len) == word))
-        tests = test if tests is None else tests | test
-    return tests
+    def places(words: Column) -> Column:  # a separator in front or behind leaves an empty word there
+        before = F.when(F.get(words, 0) == "", 1).otherwise(0)
+        after = F.when((F.size(words) > 1) & (F.get(words, F.size(words) - 1) == ""), 1).otherwise(0)
 
+        def one(word: Column, i: Column) -> Column:
+            tail = F.when(word.isin(first), F.array_join(F.slice(words, i + 2, F.lit(TAIL)), " "))
+            return F.when(word.isin(vocabulary), F.struct(word.alias("word"), (i - before).alias("pos"), tail.alias("tail")))
 
-def template_postings() -> list[tuple[str, str, int, int]]:
-    """(label, word, position, indexed words of the template)."""
-    out = []
-    for label, (text, _) in TEMPLATES.items():
-        at = [(w, i) for i, w in enumerate(text.split()) if w not in COMMON]
-        out += [(label, w, i, len(at)) for w, i in at]
-    return out
+        return F.struct((F.size(words) - before - after).cast("long").alias("n"), F.filter(F.transform(words, one), lambda x: x.isNotNull()).alias("at"))
 
+    return bound(F.split(F.lower(F.replace(text, F.lit(KELVIN), F.lit(SWAP))), SEPARATOR), places)
 
-def phrase_places(words: Column, phrase: str, label: str) -> Column:
-    """Array of struct(at, label): the word positions where a phrase starts.
 
-    The spaced words are cut before each place; a place's position is the number
-    of spaces before it less one.
-    """
-    none = F.array().cast("array<struct<at:int,label:string>>")
-    pieces = F.split(F.regexp_replace(F.translate(words, CUT, SWAP), f"(?<= )(?={phrase} )", CUT), CUT)
+def rare_index(places: DataFrame) -> DataFrame:
+    """template, label, word, tpos, of: each template's INDEXED words of the highest IDF over all documents, at all their positions."""
+    spark = places.sparkSession
+    frequency = places.select(F.explode(F.array_distinct(F.transform("at", lambda x: x["word"]))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    postings = spark.createDataFrame(template_postings(), "template int, label string, word string, tpos int")
+    # a word in no document cannot be met; the rarer the word, the higher its IDF
+    rank = F.dense_rank().over(Window.partitionBy("template").orderBy("df", "word"))
+    rare = postings.join(F.broadcast(frequency), "word").withColumn("r", rank).where(F.col("r") <= INDEXED)  # one row for each template word
+    return durable(rare.withColumn("of", F.count("*").over(Window.partitionBy("template"))).select("template", "label", "word", "tpos", "of"), "license-index")
 
-    def step(acc: Column, piece: Column) -> Column:
-        spaces = acc["n"] + F.length(piece) - F.length(F.replace(piece, F.lit(" "), F.lit("")))
-        return F.struct(spaces.alias("n"), F.concat(acc["out"], F.array(F.struct((spaces - 1).alias("at"), F.lit(label).alias("label")))).alias("out"))
 
-    start = F.struct(F.lit(0).alias("n"), none.alias("out"))
-    got = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, step, lambda a: a["out"])
-    return F.when(F.contains(words, F.lit(f" {phrase} ")), got).otherwise(none)
+def method_labels(places: DataFrame) -> DataFrame:
+    """row, label, share: the labels whose templates align with a document's places and whose key phrases stand there."""
+    spark = places.sparkSession
+    index = F.broadcast(rare_index(places))  # at most the templates' words
+    looked_up = places.select("row", F.explode("at").alias("a")).select("row", "a.*")
+    met = looked_up.join(index, "word").select("row", "template", "label", "of", (F.col("pos") - F.col("tpos")).alias("offset"))
+    aligned = met.groupBy("row", "template", "label", "of", "offset").agg(F.count("*").alias("n")).where((F.col("n") >= AGREE) & (F.col("n") * SHARE[1] >= F.col("of") * SHARE[0]))
+    phrases = spark.createDataFrame(template_phrases(), "template int, word string, rest string, length int")
+    wanted = aligned.join(F.broadcast(phrases), "template")
+    stands = looked_up.where("tail is not null").select("row", "word", "pos", "tail")
+    near = F.col("pos").between(F.col("offset") - NEAR, F.col("offset") + F.col("length") + NEAR)
+    verified = wanted.join(stands, ["row", "word"]).where(near & opens(F.col("tail"), F.col("rest")))
+    return verified.groupBy("row", "label").agg(F.max(F.col("n") / F.col("of")).alias("share"))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    postings = template_postings()
-    vocabulary = sorted({w for _, w, _, _ in postings})
-    phrases = [*BASE, *(p for _, p in TEMPLATES.values())]
-    maybe = keyed.where(may_hold(F.col("text"), phrases)).select("key", spaced(F.col("text")).alias("words")).dropDuplicates(["key"])
-    maybe = durable(maybe, "license-texts")
-    at = F.filter(F.transform(F.split(F.trim("words"), " "), lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: x["word"].isin(*vocabulary))
-    keys = [F.when(F.contains("words", F.lit(f" {p} ")), F.lit(label)) for label, (_, p) in TEMPLATES.items()]
-    seen = maybe.select("key", at.alias("at"), F.concat(*(phrase_places(F.col("words"), p, x) for p, x in BASE.items())).alias("places"), F.array_compact(F.array(*keys)).alias("phrases"))
-    seen = durable(seen.where("size(phrases) > 0 or size(places) > 0"), "license-words")
-    n_docs = docs.count()
-    found = seen.select("key", F.explode("at").alias("a")).select("key", "a.word", "a.pos")
-    every = F.array_intersect(F.split(F.lower("text"), SEPARATOR), F.array(*map(F.lit, vocabulary)))
-    frequency = keyed.select(F.explode(every).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    idf = frequency.select("word", (F.lit(math.log(n_docs + 1)) - F.log("df")).alias("idf"))  # one row for each template word
-    # distinct words are ranked and every place of a chosen one is looked up, so that no repeated line is lost
-    rare = found.join(F.broadcast(idf), "word").withColumn("r", F.dense_rank().over(Window.partitionBy("key").orderBy(F.desc("idf"), "word"))).where(F.col("r") <= LOOKUPS)
-    index = docs.sparkSession.createDataFrame(postings, "label string, word string, tpos int, of int")
-    met = rare.join(F.broadcast(index), "word").withColumn("offset", F.col("pos") - F.col("tpos"))
-    aligned = met.groupBy("key", "label", "of", "offset").agg(F.count("*").alias("n")).where((F.col("n") >= AGREE) & (F.col("n") * 3 >= F.col("of") * 2))
-    best = aligned.groupBy("key", "label").agg(F.max(F.col("n") / F.col("of")).alias("share"))
-    # the key phrase decides; a longer notice's phrase stands beside the shorter one's
-    verified = best.join(seen.select("key", "phrases"), "key").where(F.array_contains("phrases", F.col("label")))
-    method = verified.groupBy("key").agg(F.collect_set("label").alias("own"), F.max("share").alias("score"))
-    labelled = seen.where("size(places) > 0").select("key", "places").join(method, "key", "full")
-    places = F.coalesce("places", F.array().cast("array<struct<at:int,label:string>>"))
-    labels = F.array_distinct(F.transform(places, lambda p: p["label"]))
-    per_key = labelled.select("key", F.size(places).cast("long").alias("n_base"), F.array_min(F.transform(places, lambda p: p["at"])).cast("long").alias("first_word"), F.array_max(F.transform(places, lambda p: p["at"])).cast("long").alias("last_word"), F.array_join(F.array_sort(labels), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(labels, F.coalesce("own", F.array().cast("array<string>")))), ",").alias("labels"), F.when(F.size(places) > 0, F.lit(1.0)).otherwise(F.col("score")).alias("score"))
-    per_key = durable(per_key, "license-found")
-    rows = keyed.select("doc_id", "key", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
-    out = sized_join(rows, per_key, "key", "left", 160)
-    return out.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document."""
+    found = word_places(F.coalesce("text", F.lit("")))
+    places = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", found.alias("x")).select("row", "doc_id", F.col("x.n").alias("n_words"), "x.at")
+    places = durable(places, "license-places")
+    own = method_labels(places).groupBy("row").agg(F.collect_set("label").alias("own"), F.max("share").alias("best"))
+    own = durable(own, "license-own")
+
+    def base(x: Column) -> Column:
+        label = None
+        for phrase, name in BASE.items():
+            word, _, rest = phrase.partition(" ")
+            test = (x["word"] == word) & opens(x["tail"], F.lit(rest))
+            label = F.when(test, name) if label is None else label.when(test, name)
+        return F.struct(x["pos"].alias("pos"), label.alias("label"))
+
+    based = F.filter(F.transform("at", base), lambda x: x["label"].isNotNull())
+    rows = sized_join(places.select("row", "doc_id", "n_words", based.alias("base")), own, "row", "left", 96)
+    labels, none = F.array_distinct(F.transform("base", lambda x: x["label"])), F.array().cast("array<string>")
+    positions = F.transform("base", lambda x: x["pos"].cast("long"))
+    score = F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
+    return rows.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(positions).alias("first_word"), F.array_max(positions).alias("last_word"), F.array_join(F.array_sort(labels), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(labels, F.coalesce("own", none))), ",").alias("labels"), score.alias("score"))
 
 
 def op8_licenses(spark, sf_dir):
