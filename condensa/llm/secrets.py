@@ -8,8 +8,10 @@ those are verified by the pattern.  Rules whose patterns have no mandatory
 trigram scan every text.  All steps are DataFrame functions.
 
 Defined results: null and empty texts have no spans and the digest of no bytes;
-repeated rows give equal rows (documents are keyed by id and text hash); spans are
-code points, end exclusive, of whole texts; other columns are not read.
+repeated rows give equal rows (documents are keyed by two hashes of id and text); spans
+are code points, end exclusive, of whole texts of any length; spans of one kind cannot
+tie, kinds that start together come as listed; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from condensa.llm._kit import durable, sized_join
+from condensa.llm._kit import durable, held_join, sized_join
 from condensa.llm._spans import listed, match_spans
 
 _ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -44,6 +46,7 @@ RULES: dict[str, tuple] = {
     "urlauth": (r"[a-z][a-z0-9+]*://[^\s:/@]+:[^\s:/@]+@", ["://"], lambda m: F.lit(True)),
 }
 BASE = ("assign", "access", "hex")
+SPANS = "array<struct<start:bigint,ord:int,end:bigint,kind:string>>"
 
 
 def literal_runs(piece: str) -> list[str]:
@@ -63,11 +66,23 @@ def trigram_query(alternatives: list[str]) -> list[frozenset[str]]:
     return out
 
 
+def _one_of(letters: list[str]) -> str:
+    return "[" + "".join("\\" + c if c in "-]\\^[" else c for c in sorted(letters)) + "]"
+
+
+def trigram_pattern(trigrams: list[str]) -> str:
+    """A pattern that matches, without taking a letter, where one of the trigrams stands; group 1 is it."""
+    heads: dict[str, dict[str, list[str]]] = {}
+    for a, b, c in trigrams:
+        heads.setdefault(a, {}).setdefault(b, []).append(c)
+    branches = (re.escape(a) + "(?:" + "|".join(re.escape(b) + _one_of(cs) for b, cs in tails.items()) + ")" for a, tails in sorted(heads.items()))
+    return f"(?={_one_of(list(heads))})(?=({'|'.join(branches)}))"
+
+
 def build_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """Postings (trigram, key) of the given lower-case trigrams; docs has key and text."""
-    low = F.lower("text")
-    there = F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams))
-    return docs.select("key", F.explode(F.array_compact(there)).alias("trigram"))
+    """Postings (trigram, key) of the given lower-case trigrams, each text read once; docs has key and text."""
+    there = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(trigram_pattern(trigrams)), 1))
+    return docs.select("key", F.explode(there).alias("trigram"))
 
 
 def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
@@ -79,19 +94,23 @@ def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> Da
 
 
 def find_secrets(docs: DataFrame, rules: dict[str, tuple] = RULES) -> DataFrame:
-    """doc_id and spans, array of struct(start, ord, end, kind), of every document."""
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    """doc_id and spans, array of struct(start, ord, end, kind), of every document.
+
+    Only the texts of candidates meet the candidates' table; their spans come back
+    to all documents by key, so no text that holds nothing is shuffled.
+    """
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text")).withColumn("check", F.xxhash64("text", F.lit(1)))
     queries = {k: q for k, (_, alts, _) in rules.items() if (q := trigram_query(alts))}
     grams = sorted(set(itertools.chain.from_iterable(b for q in queries.values() for b in q)))
     found = durable(candidates(build_index(keyed.select("key", "text"), grams), queries), "secret-candidates")
-    rows = sized_join(keyed, found, "key", "left", 48)
-    none = F.array().cast("array<struct<start:bigint,ord:int,end:bigint,kind:string>>")
-    each = []
-    for n, (kind, (pattern, _, ok)) in enumerate(rules.items()):
-        spans = match_spans(F.col("text"), pattern, 0, ok, kind, n)
-        allowed = F.array_contains("rules", kind) if kind in queries else F.col("text").rlike(pattern)
-        each.append(F.when(allowed, spans).otherwise(none))
-    return rows.select("doc_id", F.concat(*each).alias("spans"))
+    none = F.array().cast(SPANS)
+    each = {k: match_spans(F.col("text"), pattern, ok, k, n) for n, (k, (pattern, _, ok)) in enumerate(rules.items())}
+    listed_rules = F.concat(none, *(F.when(F.array_contains("rules", k), each[k]).otherwise(none) for k in queries))
+    hits = held_join(keyed.select("key", "check", "text"), found, "key", 48).select("key", "check", listed_rules.alias("hits")).where("size(hits) > 0")
+    hits = durable(hits.dropDuplicates(["key", "check"]), "secret-hits")  # equal rows have equal spans
+    full = F.concat(none, *(F.when(F.col("text").rlike(rules[k][0]), each[k]).otherwise(none) for k in rules if k not in queries))
+    rows = sized_join(keyed.select("doc_id", "key", "check", full.alias("full")), hits, ["key", "check"], "left", 256)
+    return rows.select("doc_id", F.concat("full", F.coalesce("hits", none)).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
