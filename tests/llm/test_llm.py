@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from condensa.llm import decontaminate, exact_topk, html_extract, licenses, mixing, ngram_jaccard, pii, secrets, sharding, toxicity
+from condensa.llm import _kit, decontaminate, exact_topk, html_extract, licenses, mixing, ngram_jaccard, pii, secrets, sharding, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n int, shard int"
 ODD = [
@@ -200,7 +200,6 @@ def test_licenses_repeated(spark):
     df = spark.createDataFrame([(10 * i + (n > 20), "\n".join([x] * n)) for i, x in enumerate(lines) for n in (20, 200)] + [(99, " ".join(lines))], "doc_id long, text string")
     got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(df).collect()}
     assert [got[0], got[10], got[20]] == [got[1], got[11], got[21]] == ["mit", "apache-2.0", "cc-by,cc-by-nc"]
-    assert len({w for _, w, _, _ in licenses.template_postings()}) <= licenses.LOOKUPS
 
 
 def test_pii(docs, nothing):
@@ -235,7 +234,7 @@ def test_toxicity(spark, docs, nothing):
     assert auto.match("idiot") == (("idiot", 0),) and auto.match("idot") == auto.match("idiiot") == auto.match("idiat") == (("idiot", 1),)
     assert auto.match("vejuté") == (("veju", 0),) and auto.match("idea") == () and auto.match("vaju") == ()
     rows = [(f"some plain text {i}", 0) for i in range(40)] + [(f"you {w} number {i}", 1) for i in range(9) for w in ("idiot", "scum")]
-    model = toxicity.fit(rows)
+    model = toxicity.fit(spark.createDataFrame([(t.split(), y) for t, y in rows], "words array<string>, y int"))
     assert model.score("what an idiott") >= 0.3 > model.score("plain") and model.score('the word "idiot"') < model.score("you idiot")
     labels = spark.createDataFrame([(1, 0), (8, 1), (None, 1), (3, None)], "doc_id long, toxic int")
     assert toxicity.toxicity(docs, labels).count() == len(ODD) and toxicity.toxicity(nothing, labels).count() == 0
@@ -289,9 +288,9 @@ def test_pipeline(spark):
 def test_jaccard_prefilters(spark):
     post = spark.createDataFrame([(t, t + 1, 5) for t in (-(2**63), -7, 0, 1, 2**63 - 2, 5)], "token long, r long, n int")
     kept = spark.createDataFrame([(-(2**63), 2), (0, 2), (2**63 - 2, 3)], "token long, v int")
-    passed = ngram_jaccard._may_be_kept(post, kept)
+    passed = _kit.may_be_in(post, "token", kept)
     assert passed.columns == post.columns and {-(2**63), 0, 2**63 - 2} <= {r["token"] for r in passed.collect()}
-    assert ngram_jaccard._may_be_kept(post, kept.where("v > 9")).count() == 0
+    assert _kit.may_be_in(post, "token", kept.where("v > 9")).count() == 0
     rows = spark.createDataFrame([(1, 1, 80), (1, 2, 100), (1, 3, 126), (2, 4, 7), (2, 5, 7), (3, 6, 50), (4, 7, 79), (4, 8, 100)], "g long, r long, n int")
     near = {r["r"] for r in ngram_jaccard._with_near_size(rows, 80).collect()}
     assert near == {1, 2, 4, 5}  # 80 of 100 is just near enough; 100 of 126 and 79 of 100 are not; ties are near
