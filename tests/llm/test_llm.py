@@ -141,7 +141,7 @@ def test_topk(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8)).astype("float32").round(1)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1100, [None] * 8), (1200, [float("nan")] * 8), (None, [1.0] * 8)]
-    v = exact_topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    v = exact_topk.taking_part(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in exact_topk.top_k(v, v.where("vec_id % 100 = 0")).collect()}
     q = np.floor(1024 * x.astype("float64"))
     want = {}
