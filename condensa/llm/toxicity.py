@@ -9,13 +9,17 @@ all terms.  Each hit's chance of abuse is learned by term and by edits; a window
 around the hit tells quotation (quote marks around it, or a reporting word before
 it) and lowers it.  The hits of a text combine as independent chances (noisy or).
 
-The fit reads at most FIT_ROWS labelled rows, those of the smallest hashes of
-doc_id, and FIT_TOXIC toxic ones; the bound keeps the driver's share constant.
+The fit reads at most FIT_ROWS labelled documents, those of the smallest hashes of
+doc_id, and FIT_TOXIC toxic ones.  Their words are read and counted on the executors;
+the driver gets the terms in question, FIT_TERMS at most, and for each toxic document
+the numbers of those that it holds, so neither its memory nor the model's size depends
+on the length of the texts.
 
 Defined results: null and empty texts have the score of a text without hits;
-without usable labels the lexicon is empty and that score 0; documents labelled
-twice count once if the labels agree, else not at all; repeated rows score alike;
-whole texts are read however long; extra columns are not read.
+without usable labels, or on empty tables, the lexicon is empty and that score 0;
+documents labelled twice count once if the labels agree, else not at all; of texts
+that share an id one is learned from; repeated rows score alike; whole texts are read
+however long; extra columns are not read, whatever their names.  Ids stay in the JVM.
 """
 
 from __future__ import annotations
@@ -27,12 +31,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from condensa.llm._kit import durable, sized_join
+from condensa.llm._kit import durable, forget, sized_join
 
 FIT_ROWS, FIT_TOXIC = 6_000, 2_000
+#: Terms in question that the driver weighs, those of the most toxic documents first.
+FIT_TERMS = 5_000
+#: Terms that a task counts before it passes their counts on.
+COUNT_ROWS = 50_000
 THRESHOLD = 0.3
 #: Lexicon terms: letters, toxic documents a term must explain, share of its documents that are toxic.
 LEAST_LETTERS, LEAST_EXPLAINED, LEAST_SHARE = 4, 3, 0.8
@@ -124,41 +132,37 @@ class LexiconAutomaton:
         return got
 
 
-def learn_lexicon(rows: list[tuple[set[str], int]]) -> dict[str, bool]:
-    """Terms (True: whole words) covering the toxic documents; rows hold each distinct text's words and label."""
-    def features(words):
-        out = set()
-        for w in words:
-            out.add((w, True))
-            out.update((w[:k], False) for k in range(LEAST_LETTERS, min(len(w), 9)))
-        return {f for f in out if len(f[0]) >= LEAST_LETTERS}
-
-    bad = [features(w) for w, y in rows if y]
-    seen: Counter = Counter(f for fs in bad for f in fs)
-    open_ = {f for f, n in seen.items() if n >= LEAST_EXPLAINED}
-    good: Counter = Counter()
-    for w, y in rows:
-        if not y:
-            good.update(features(w) & open_)
-    open_ = {f for f in open_ if seen[f] >= LEAST_SHARE * (seen[f] + good[f] + 1)}
+def term_features(words: set[str]) -> set[tuple[str, bool]]:
+    """(word, True) and (beginning of a word, False) of a text's words, of LEAST_LETTERS letters or more."""
+    whole = {(w, True) for w in words if len(w) >= LEAST_LETTERS}
+    return whole | {(w[:k], False) for w in words for k in range(LEAST_LETTERS, min(len(w), 9))}
+
+
+def learn_lexicon(terms: list[tuple[str, bool]], bad: list[int], good: list[int], held: list[list[int]], n_bad: int) -> dict[str, bool]:
+    """Terms (True: whole words) covering the toxic documents.
+
+    terms are those in question, with the numbers of toxic and of other documents
+    that hold each; held lists the terms in question of each toxic document.
+    """
     where = defaultdict(set)
-    for i, fs in enumerate(bad):
-        for f in fs & open_:
+    for i, numbers in enumerate(held):
+        for f in numbers:
             where[f].add(i)
-    left, out = set(range(len(bad))), {}
+    left, out = set(range(len(held))), {}
     while where:
         # documents explained less those wrongly hit; a beginning must explain a tenth more than a word
-        f = max(where, key=lambda f: (len(where[f] & left) * (1.1 if f[1] else 1.0) - 3 * good[f], f[1], len(f[0]), f[0]))
+        f = max(where, key=lambda f: (len(where[f] & left) * (1.1 if terms[f][1] else 1.0) - 3 * good[f], terms[f][1], len(terms[f][0]), terms[f][0]))
         gain = where[f] & left
         if len(gain) < LEAST_EXPLAINED:
             break
-        out[f[0]] = out.get(f[0], True) and f[1]
+        text, whole = terms[f]
+        out[text] = out.get(text, True) and whole
         left -= gain
         where = {g: s for g, s in where.items() if g != f and len(s & left) >= LEAST_EXPLAINED}
     # words that come with chosen terms and never without toxicity are terms as well
-    for (t, whole), n in seen.items():
-        if whole and t not in out and good[(t, True)] == 0 and n >= max(8, 0.02 * len(bad)) and not any(t.startswith(o) for o, w in out.items() if not w):
-            out[t] = True
+    for f, (text, whole) in enumerate(terms):
+        if whole and text not in out and not good[f] and bad[f] >= max(8, 0.02 * n_bad) and not any(text.startswith(o) for o, w in out.items() if not w):
+            out[text] = True
     return out
 
 
@@ -211,25 +215,9 @@ class ToxicityModel:
         return float(min(1.0, max(0.0, 1.0 - (1.0 - self.base) * miss)))
 
 
-def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
-    """rows: texts and labels; equal texts count once."""
-    texts = dict(rows)
-    data = [(t, y, set(_WORD.findall(t.lower()))) for t, y in texts.items()]
-    terms = learn_lexicon([(w, y) for _, y, w in data])
-    auto = LexiconAutomaton(terms)
-    seen, bad = Counter(), Counter()
-    plain = [0, 0]
-    for _, y, words in data:
-        got = {(t, e) for w in words for t, e in auto.match(w)}
-        if exact := {g for g in got if not g[1]}:
-            got = exact  # misspellings are judged on texts without a term itself
-        seen.update(got)
-        if y:
-            bad.update(got)
-        if not got:
-            plain[0] += 1
-            plain[1] += y
-    chance = {k: bad[k] / (n + 1.0) for k, n in seen.items()}
+def chances(terms: dict[str, bool], counted: dict[tuple[str, int], tuple[int, int]], plain: tuple[int, int]) -> ToxicityModel:
+    """The model of a lexicon; counted: (documents, toxic ones) by term and edits; plain: the same of those without a term."""
+    chance = {k: y / (n + 1.0) for k, (n, y) in counted.items()}
     for t in terms:  # misspellings that the sample lacks: half of the term's own chance
         if terms[t] and len(t) >= EDIT_LETTERS:
             chance.setdefault((t, 1), chance.get((t, 0), 0.0) / 2)
@@ -240,45 +228,106 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """The bounded sample of (text, label) rows outside the held-out quarter."""
+def labelled_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """words, y: the distinct words of the bounded sample's texts, outside the held-out quarter; equal texts count once."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("y2")).where("y = y2").where(~held_out(F.col("doc_id")))
-    known = durable(known.withColumn("o", F.xxhash64("doc_id")), "toxic-labels")
-    some = known.orderBy("o", "doc_id").limit(FIT_ROWS).unionByName(known.where("y = 1").orderBy("o", "doc_id").limit(FIT_TOXIC)).select(F.col("doc_id").alias("label_id"), "y").distinct()
+    known = durable(known.select(F.col("doc_id").alias("label_id"), (F.col("y") == 1).cast("int").alias("y")).withColumn("o", F.xxhash64("label_id")), "toxic-labels")
+    some = known.orderBy("o", "label_id").limit(FIT_ROWS).unionByName(known.where("y = 1").orderBy("o", "label_id").limit(FIT_TOXIC)).select("label_id", "y").distinct()
     some = durable(some, "toxic-sample")
-    rows = sized_join(docs.where("text is not null").select("doc_id", "text"), some, F.col("doc_id") == F.col("label_id"), "inner", 16)
-    return sorted((r["text"], int(r["y"] == 1)) for r in rows.select("text", "y").toLocalIterator())
 
+    @F.pandas_udf("array<string>")
+    def words(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted(set(_WORD.findall(t.lower()))) for t in texts], dtype=object)
+
+    texts = docs.where("text is not null").select("doc_id", F.sha2("text", 256).alias("h"), "text")
+    rows = sized_join(texts, some, F.col("doc_id") == F.col("label_id"), "inner", 16)
+    # an id with many texts, and a text with many ids, count once
+    rows = rows.groupBy("label_id").agg(F.min(F.struct("h", "text", "y")).alias("x")).select("x.*")
+    once = rows.groupBy("h").agg(F.max("y").alias("y"), F.first("text").alias("text"))
+    out = durable(once.select(words("text").alias("words"), "y"), "toxic-words")
+    forget(known, some)
+    return out
+
+
+def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Toxic and other documents by term, summed up before the shuffle in tables of about COUNT_ROWS terms."""
+    bad, good = Counter(), Counter()
+
+    def flush():
+        terms = list(bad.keys() | good.keys())
+        out = pd.DataFrame(terms, columns=["t", "whole"])
+        out["bad"], out["good"] = [bad[t] for t in terms], [good[t] for t in terms]
+        bad.clear()
+        good.clear()
+        return out
+
+    for pdf in batches:
+        for words, y in zip(pdf["words"], pdf["y"], strict=True):
+            (bad if y else good).update(term_features(set(words)))
+            if len(bad) + len(good) > COUNT_ROWS:
+                yield flush()
+    yield flush()
+
+
+def fit(sample: DataFrame) -> ToxicityModel:
+    """The model of labelled_words; texts are counted on the executors."""
+    spark = sample.sparkSession
+
+    each = sample.mapInPandas(_term_counts, "t string, whole boolean, bad long, good long").groupBy("t", "whole").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    asked = each.where((F.col("bad") >= LEAST_EXPLAINED) & (F.col("bad") >= LEAST_SHARE * (F.col("bad") + F.col("good") + 1)))
+    found = asked.orderBy(F.desc("bad"), F.desc("whole"), "t").limit(FIT_TERMS).collect()
+    asked_terms = [(r["t"], r["whole"]) for r in found]
+    sent = spark.sparkContext.broadcast({t: i for i, t in enumerate(asked_terms)})
+
+    @F.pandas_udf("array<int>")
+    def numbers(rows: pd.Series) -> pd.Series:
+        at = sent.value
+        return pd.Series([sorted(at[f] for f in term_features(set(ws)) if f in at) for ws in rows], dtype=object)
+
+    held = [list(r[0]) for r in sample.where("y = 1").select(numbers("words").alias("n")).where("size(n) > 0").orderBy("n").toLocalIterator()] if found else []
+    n_bad = sample.where("y = 1").count()
+    terms = learn_lexicon(asked_terms, [r["bad"] for r in found], [r["good"] for r in found], held, n_bad)
+
+    @F.pandas_udf("array<struct<t:string,e:int>>")
+    def met(rows: pd.Series) -> pd.Series:
+        auto, out = LexiconAutomaton(terms), []
+        for ws in rows:
+            got = {(t, e) for w in ws for t, e in auto.match(w)}
+            # misspellings are judged on texts without a term itself
+            out.append([{"t": t, "e": e} for t, e in ({g for g in got if not g[1]} or got)])
+        return pd.Series(out, dtype=object)
+
+    rows = sample.select("y", met("words").alias("m"))
+    counts = rows.select("y", F.explode_outer("m").alias("m")).groupBy("m").agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect()
+    counted = {(r["m"]["t"], r["m"]["e"]): (r["n"], r["y"]) for r in counts if r["m"] is not None}
+    plain = next(((r["n"], r["y"]) for r in counts if r["m"] is None), (0, 0))
+    return chances(terms, counted, plain)
+
+
+def scored(docs: DataFrame, labels: DataFrame) -> Column:
+    """The score of docs' text, by a model learned from them and the labels."""
+    sample = labelled_words(docs, labels)
+    model = docs.sparkSession.sparkContext.broadcast(fit(sample).state())
 
-def _score(sent):
-    def run(batches):
-        model = ToxicityModel(*sent.value)
-        for pdf in batches:
-            pdf["score"] = [model.score(t) for t in pdf["text"]]
-            yield pdf.drop(columns=["text"])
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = ToxicityModel(*model.value)
+        for texts in batches:
+            yield pd.Series([m.score(t) for t in texts], dtype=np.float64)
 
-    return run
+    forget(sample)
+    return score("text")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels)).state())
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    out = rows.mapInPandas(_score(model), "doc_id long, held_out boolean, score double")
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scored(docs, labels).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with their columns."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels)).state())
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = ToxicityModel(*model.value)
-        for texts in batches:
-            yield pd.Series([m.score(t) for t in texts], dtype=np.float64)
-
-    return docs.where(score("text") < THRESHOLD)
+    return docs.where(scored(docs, labels) < THRESHOLD)
 
 
 def op5_toxicity(spark, sf_dir):
