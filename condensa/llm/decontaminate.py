@@ -20,7 +20,6 @@ clean_documents whatever their names.  Ids stay in the JVM, so none is rounded.
 from __future__ import annotations
 
 import re
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -109,23 +108,13 @@ class SeedIndex:
         return out
 
 
-#: The index of the slice that this Python worker read last; tasks that follow share it.
-_READY: dict[str, SeedIndex] = {}
-
-
-def _index_of(name: str, items: list[tuple[int, str]]) -> SeedIndex:
-    if name not in _READY:
-        _READY.clear()
-        _READY[name] = SeedIndex(items)
-    return _READY[name]
-
-
 def _matches(sent, least: int, percent: int):
-    name = uuid.uuid4().hex
-
     @F.pandas_udf("array<struct<item_id:bigint,n_words:int,first_word:int,n_equal:int>>")
     def run(texts: pd.Series) -> pd.Series:
-        index, out = _index_of(name, sent.value), []
+        slice_ = sent.value  # one object in a Python worker, so its tasks share the index
+        if "index" not in slice_:
+            slice_["index"] = SeedIndex(slice_["items"])
+        index, out = slice_["index"], []
         for t in texts:
             h = word_hashes(tokens(t))
             found = index.match(h, least, percent) if len(h) else {}
@@ -144,7 +133,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_WORDS, pe
     mine, found = F.col("doc_id") if key is None else key.alias("key"), None
     for i in range(slices):
         part = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == i).collect()]
-        matches = _matches(spark.sparkContext.broadcast(part), least, percent)
+        matches = _matches(spark.sparkContext.broadcast({"items": part}), least, percent)
         got = docs.select(mine, F.explode(matches("text")).alias("m"))  # explode drops texts without matches
         got = got.select(got.columns[0], "m.item_id", "m.n_words", "m.first_word", "m.n_equal")
         found = got if found is None else found.unionByName(got)
