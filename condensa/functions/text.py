@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import base64
+import sys
+import types
+
 import pandas as pd
+import tiktoken
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,7 +28,24 @@ def first_lines(text: Column, n: int) -> Column:
 
 def trim_wide(text: Column) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)\A\s+|(?<!\s)\s++\z", "")
+
+
+def shorter_trimmed(text: Column, limit: int) -> Column:
+    """Whether the trimmed text has less than limit bytes; only a text with white space at an end is trimmed."""
+    blank = lambda c: c.rlike(r"(?U)\A\s")
+    framed = blank(F.substring(text, 1, 1)) | blank(F.substring(text, -1, 1))
+    return (F.octet_length(text) < limit) | (framed & (F.octet_length(trim_wide(text)) < limit))
+
+
+def role_of(line: Column) -> Column:
+    """The text before the first colon."""
+    return F.substring_index(line, ":", 1)
+
+
+def indent_width(line: Column) -> Column:
+    """Bytes of white space in front."""
+    return F.octet_length(line) - F.octet_length(F.regexp_replace(line, r"(?U)\A\s+", ""))
 
 
 def cut_bytes(text: Column, limit: int) -> Column:
@@ -72,18 +94,26 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(union, F.lit(1)))
 
 
-def exact_tokens(text: Column, ranks_path: str, pattern: str) -> Column:
-    """Byte-pair token counts by a vocabulary file of ranks on every executor."""
-
-    @F.pandas_udf("long")
-    def count(batches: "pd.Series") -> "pd.Series":
-        import base64
-
-        import tiktoken
+def tokenizer(ranks_path: str, pattern: str):
+    """The byte-pair encoder of a vocabulary file; a process loads it once.
 
+    Functions of this package reach a worker by value, a new copy for each task, so what
+    is to outlast a task is kept in a module of its own.
+    """
+    kept = sys.modules.setdefault("condensa_kept", types.ModuleType("condensa_kept")).__dict__
+    if (ranks_path, pattern) not in kept:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        enc = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return batches.map(lambda t: len(enc.encode_ordinary(t or "")))
+        kept[ranks_path, pattern] = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return kept[ranks_path, pattern]
+
+
+def exact_tokens(text: Column, ranks_path: str, pattern: str) -> Column:
+    """Byte-pair token counts by a vocabulary file of ranks on every executor; null and empty texts have 0."""
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        enc = tokenizer(ranks_path, pattern)
+        return texts.map(lambda t: len(enc.encode_ordinary(t or "")))
 
     return count(text)

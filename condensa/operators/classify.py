@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from condensa.functions import levels as L
-from condensa.functions.text import first_lines, trim_wide
+from condensa.functions.text import first_lines, shorter_trimmed
 
 
 def _any(tests: list[Column]) -> Column:
@@ -52,9 +52,9 @@ def language_of(text: Column) -> Column:
         ("javascript", has("function ", "const ", "=> {")),
         ("java", has("public class ", "public static void main")),
     ]
-    out = F.lit(None).cast("string")
-    for name, test in reversed(rules):
-        out = F.when(test, F.lit(name)).otherwise(out)
+    out = F.when(rules[0][1], F.lit(rules[0][0]))
+    for name, test in rules[1:]:
+        out = out.when(test, F.lit(name))
     return out
 
 
@@ -80,21 +80,22 @@ def json_kind(text: str | None) -> str | None:
 def _json_kind(text: Column) -> Column:
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: json_kind(t) if t and t.lstrip()[:1] in ("{", "[") else None)
+        return texts.map(lambda t: json_kind(t) if t else None)
 
-    # only texts that can open with a brace or bracket are sent to Python
-    return run(F.when(F.contains(text, F.lit("{")) | F.contains(text, F.lit("[")), text))
+    # only texts that open with a brace or bracket are sent to Python
+    return run(F.when(text.rlike(r"(?U)^\s*[\[{]"), text))
 
 
 def content_type(text: Column, maybe_json: bool = True) -> Column:
-    """Display form; maybe_json=False leaves out the only test that is not native."""
-    lang = language_of(text)
-    out = F.when(looks_like_chat(text), "conversation").otherwise("unknown")
-    out = F.when(lang.isNotNull(), F.concat(F.lit("code:"), lang)).otherwise(out)
-    out = F.when(has_ansi(text) | looks_like_command(text), "command_output").otherwise(out)
-    if maybe_json:
-        out = F.coalesce(_json_kind(text), out)
-    return F.when(F.octet_length(trim_wide(text)) < 10, "unknown").otherwise(out)
+    """Display form; maybe_json=False leaves out the only test that is not native.  Each test stands once, in order."""
+    rules = [
+        F.when(shorter_trimmed(text, 10), "unknown"),
+        *([_json_kind(text)] if maybe_json else []),
+        F.when(has_ansi(text) | looks_like_command(text), "command_output"),
+        F.concat(F.lit("code:"), language_of(text)),
+        F.when(looks_like_chat(text), "conversation"),
+    ]
+    return F.coalesce(*rules, F.lit("unknown"))
 
 
 def type_of_tool(tool: Column, text: Column, maybe_json: bool = True) -> Column:
