@@ -9,10 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from condensa.functions.text import estimated_tokens, jaccard, line_set
+from condensa.functions.text import estimated_tokens, jaccard, line_set, saved_ratio
+from condensa.sources.store import latest_by_hash
 
 MARKER = "CONDENSA_DIFF:"
 LOOK_BACK, LEAST_JACCARD, LEAST_SAVED = 20, 0.6, 0.3
+#: Items of a session that one task looks back in.
+BLOCK = 1000
 _HUNK = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 
 
@@ -90,13 +93,18 @@ def parse_encoded(text: Column) -> Column:
 def similar_earlier(items: DataFrame, look_back: int = LOOK_BACK, least: float = LEAST_JACCARD) -> DataFrame:
     """Pairs (session_id, seq, base_seq, jaccard) with one of the session's last items; items has session_id, seq, content.
 
-    Sequence numbers are dense within a session, so the look-back is an equi-join on
-    their difference: each row meets at most look_back others, whatever the session's size.
+    Lines go by 64-bit hashes, so no text is shuffled.  Sequence numbers are dense within a
+    session; it is cut into blocks of BLOCK items, and a block's last look_back items also
+    stand in front of the next one, so no task sees a whole session and little is copied.
     """
-    rows = items.select("session_id", "seq", line_set(F.col("content")).alias("ls"))
-    left = rows.select("session_id", "seq", F.col("ls").alias("la"), F.explode(F.sequence(F.lit(1), F.lit(look_back))).alias("d")).withColumn("base_seq", F.col("seq") - F.col("d"))
-    right = rows.select("session_id", F.col("seq").alias("base_seq"), F.col("ls").alias("lb"))
-    return left.join(right, ["session_id", "base_seq"]).withColumn("jaccard", jaccard(F.col("la"), F.col("lb"))).where(F.col("jaccard") >= least).select("session_id", "seq", "base_seq", "jaccard")
+    rows = items.select("session_id", "seq", F.transform(line_set(F.col("content")), lambda x: F.xxhash64(x)).alias("ls"))
+    block = F.floor(F.col("seq") / BLOCK)
+    ahead = F.floor((F.col("seq") + look_back) / BLOCK)
+    rows = rows.withColumn("block", F.explode(F.array_distinct(F.array(block, ahead)))).withColumn("own", F.col("block") == block)
+    before = Window.partitionBy("session_id", "block").orderBy("seq").rangeBetween(-look_back, -1)
+    seen = rows.withColumn("bases", F.collect_list(F.struct("seq", "ls")).over(before)).where("own")
+    met = F.transform("bases", lambda b: F.struct(b["seq"].alias("base_seq"), jaccard(F.col("ls"), b["ls"]).alias("jaccard")))
+    return seen.select("session_id", "seq", F.explode(F.filter(met, lambda x: x["jaccard"] >= least)).alias("x")).select("session_id", "seq", "x.*")
 
 
 def best_diffs(items: DataFrame) -> DataFrame:
@@ -110,6 +118,15 @@ def best_diffs(items: DataFrame) -> DataFrame:
     return tried.withColumn("r", rank).where("r = 1").select("session_id", "seq", "base_seq", "base_hash", "diff_text", estimated_tokens(F.col("diff_text")).alias("diff_tokens"))
 
 
+def diff_report(store: DataFrame, hashes: DataFrame) -> DataFrame:
+    """For each original_hash row the newest event's patch from the original to its reduced form, with sizes and savings; unknown hashes have none."""
+    newest = latest_by_hash(store, "original", "compressed", "content_type", "original_tokens", "compressed_tokens")
+    rows = hashes.select("original_hash").distinct().join(newest, "original_hash")
+    sizes = [F.octet_length("original").cast("bigint").alias("original_bytes"), F.octet_length("compressed").cast("bigint").alias("compressed_bytes")]
+    saved = saved_ratio(F.col("original_tokens"), F.col("compressed_tokens")) * 100
+    return rows.select(F.col("original_hash").alias("hash"), patch(F.col("original"), F.col("compressed")).alias("unified_diff"), *sizes, "original_tokens", "compressed_tokens", saved.alias("savings_pct"), "content_type")
+
+
 def reconstruct(diffs: DataFrame, store: DataFrame) -> DataFrame:
     """Add content, from base_hash and diff_text and the stored originals (original_hash, original)."""
     base = store.groupBy("original_hash").agg(F.max_by("original", "id").alias("base"))
