@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from condensa.functions.text import saved_ratio
@@ -40,6 +40,13 @@ def session_class(events: DataFrame) -> DataFrame:
     return sums.select("session_id", "total", label.alias("session_class"))
 
 
+def top_consumers(events: DataFrame, n: int | None = None) -> DataFrame:
+    """Each session's types by falling tokens, ties by name; the first n if given."""
+    rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("original_tokens"), "content_type"))
+    out = type_stats(events).withColumn("rank", rank)
+    return out.where(F.col("rank") <= n) if n else out
+
+
 def percent_text(ratio: Column) -> Column:
     """A ratio as whole percent, ties to even."""
     return F.bround(ratio * 100, 0).cast("bigint").cast("string")
@@ -58,3 +65,21 @@ def recommendations(events: DataFrame) -> DataFrame:
 
 def bench_quality(saved: Column) -> Column:
     return F.when(saved < 0.05, 70.0).when(saved > 0.95, 75.0).when((saved >= 0.3) & (saved <= 0.8), 95.0).otherwise(88.0)
+
+
+def bench_rows(measured: DataFrame) -> DataFrame:
+    """engine, content_type, tokens before and after, saved, savings in percent and quality of measured samples (name, content_type, ...)."""
+    saved = F.greatest(F.col("original_tokens") - F.col("compressed_tokens"), F.lit(0)).cast("bigint")
+    tokens = F.greatest("original_tokens", F.lit(1)).cast("bigint")
+    return measured.select(F.col("name").alias("engine"), "content_type", tokens.alias("original_tokens"), "compressed_tokens", saved.alias("tokens_saved"), (F.col("ratio") * 100).alias("savings_pct"), bench_quality(F.col("ratio")).alias("quality_score"))
+
+
+def bench_footer(rows: DataFrame) -> DataFrame:
+    """Total tokens saved and the mean savings."""
+    return rows.agg(F.coalesce(F.sum("tokens_saved"), F.lit(0)).cast("bigint").alias("total_saved"), F.coalesce(F.avg("savings_pct"), F.lit(0.0)).alias("avg_savings"))
+
+
+def bench_table(rows: DataFrame) -> DataFrame:
+    """The bench rows as lines of aligned text."""
+    line = F.format_string("%-28s %-14s %7d  %7d  %6.1f%%  %7.1f", "engine", "content_type", "original_tokens", "compressed_tokens", "savings_pct", "quality_score")
+    return rows.select("engine", line.alias("line"))

@@ -253,6 +253,11 @@ def namespace(name: str) -> str:
     return name.split("__", 1)[0] if "__" in name else "core"
 
 
+def namespaces(name: Column) -> Column:
+    """namespace of a column of names."""
+    return F.when(F.contains(name, F.lit("__")), F.substring_index(name, "__", 1)).otherwise("core")
+
+
 def reduce_tools(text: str, level: str) -> str:
     try:
         value = load_json(text)
@@ -292,6 +297,12 @@ def fold_decision(n: int, level: str) -> str:
     return "signature" if signature is not None and n > signature else "summary" if n > LIMITS["summary_over"][level] else "full"
 
 
+def fold_decisions(n: Column, level: str) -> Column:
+    """fold_decision of a column of line counts."""
+    out, signature = F.when(n > LIMITS["summary_over"][level], "summary").otherwise("full"), LIMITS["signature_over"][level]
+    return out if signature is None else F.when(n > signature, "signature").otherwise(out)
+
+
 _STRINGS = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n])'|`(?:\\.|[^`\\])*`", re.S)
 _HEADERS = {
     "rust": re.compile(r"(?:\bpub(?:\([^)]*\))?\s+)?(?:\b(?:const|async|unsafe|extern\s+\"[^\"]*\")\s+)*\bfn\s+\w+"),
@@ -363,12 +374,28 @@ def fold_functions(text: str, language: str, level: str) -> str | None:
 
 # How import, type and function lines begin.
 _IMPORT = {"rust": ("use ", "mod "), "python": ("import ", "from "), "go": ("import ",), "typescript": ("import ", "require("), "javascript": ("import ", "require("), "java": ("import ", "package "), "c": ("#include",), "cpp": ("#include",), "ruby": ("require ", "require_relative "), "php": ("use ", "require ", "include ")}
-_TYPE = {"rust": tuple(v + w for w in ("struct ", "enum ", "trait ", "type ") for v in ("", "pub ")), "typescript": ("interface ", "type ", "export interface ", "export type "), "python": ("class ",), "go": ("type ",)}
+_TYPE = {"rust": ("struct ", "pub struct ", "enum ", "pub enum ", "trait ", "pub trait ", "type ", "pub type "), "typescript": ("interface ", "type ", "export interface ", "export type "), "python": ("class ",), "go": ("type ",)}
 _TYPE["javascript"] = _TYPE["typescript"]
 _FUNCTION = {"rust": ("pub fn ", "fn ", "pub async fn ", "async fn ", "pub(crate) fn "), "python": ("def ", "async def "), "go": ("func ",), "typescript": ("function ", "export function ", "async function ", "export async function ")}
 _FUNCTION["javascript"] = _FUNCTION["typescript"]
 
 
+def line_kind(line: str, language: str) -> str | None:
+    """What a line begins: import, type, function or nothing."""
+    tests = (("import", is_import), ("type", is_type), ("function", is_function))
+    return next((name for name, test in tests if test(line, language)), None)
+
+
+def line_kinds(line: Column, language: Column) -> Column:
+    """line_kind of a column of lines."""
+
+    @F.pandas_udf("string")
+    def run(rows: pd.Series, languages: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else line_kind(r, g or "") for r, g in zip(rows, languages, strict=True)], dtype=object)
+
+    return run(line, language)
+
+
 def is_import(line: str, language: str) -> bool:
     s = line.strip()
     return s.startswith(_IMPORT.get(language, ())) or (language in ("typescript", "javascript") and s.startswith("const ") and "require(" in s)

@@ -39,9 +39,10 @@ def append(measured: DataFrame, path: str) -> None:
     measured.select(*cols).write.mode("append").option("compression", "zstd").partitionBy("session_id").parquet(path)
 
 
-def latest_by_hash(store: DataFrame) -> DataFrame:
-    """original_hash, original, compressed of each hash's newest event."""
-    return store.groupBy("original_hash").agg(F.max_by(F.struct("original", "compressed"), "id").alias("x")).select("original_hash", "x.*")
+def latest_by_hash(store: DataFrame, *columns: str) -> DataFrame:
+    """original_hash and the columns (original and compressed if none are named) of each hash's newest event."""
+    wide = F.struct(*(columns or ("original", "compressed")))
+    return store.groupBy("original_hash").agg(F.max_by(wide, "id").alias("x")).select("original_hash", "x.*")
 
 
 def expand(store: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -67,3 +68,24 @@ def top_files(accesses: DataFrame, n: int = 20) -> DataFrame:
     """Each project's most accessed files, ties by name."""
     rank = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("access_count"), "file"))
     return count_accesses(accesses).withColumn("rank", rank).where(F.col("rank") <= n)
+
+
+def log_files(log: DataFrame) -> DataFrame:
+    """project, file: the distinct file names of change logs (project, value), one name a line, blank lines between commits."""
+    names = log.select("project", F.regexp_replace("value", r"\r\z", "").alias("file"))
+    return names.where(F.length(F.trim("file")) > 0).distinct()
+
+
+def project_profile(log: DataFrame, accesses: DataFrame, n: int = 20) -> DataFrame:
+    """Per project: files of its log, files tracked, and the n most accessed, when each of the log's files counts as one more access.
+
+    accesses has project, file, ts.
+    """
+    changed = log_files(log)
+    more = changed.withColumn("ts", F.lit(None).cast(accesses.schema["ts"].dataType))
+    top = top_files(accesses.select("project", "file", "ts").unionByName(more), n)
+    per_project = top.groupBy("project").agg(F.count("*").alias("tracked_files"), F.array_sort(F.collect_list(F.struct("rank", F.col("file").alias("path"), "access_count"))).alias("x"))
+    listed = F.transform("x", lambda f: F.struct(f["path"].alias("path"), f["access_count"].alias("access_count")))
+    recent = changed.groupBy("project").agg(F.count("*").alias("recent_files"))
+    return per_project.join(recent, "project", "left").select("project", F.coalesce("recent_files", F.lit(0)).alias("recent_files"), "tracked_files", listed.alias("top_files"))
+
