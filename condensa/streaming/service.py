@@ -1,16 +1,23 @@
-"""Tool events as a stream: JSON lines in, reduced events out; running budgets as state."""
+"""Tool events and requests, as tables or streams: JSON lines in, reduced events or responses out; running budgets as state."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condensa.functions.levels import BUDGET_SHARES, BUDGET_TOTAL
+from condensa import __version__
+from condensa.functions.levels import BUDGET_TOTAL, LEVELS
+from condensa.functions.text import saved_ratio
+from condensa.operators.analytics import session_totals
+from condensa.operators.budget import category_limit, pressure_step
 from condensa.operators.classify import type_of_tool
-from condensa.sources.store import measure, parse_events
+from condensa.operators.diffs import patch
+from condensa.operators.samples import timed_samples
+from condensa.sources.store import latest_by_hash, measure, parse_events
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -32,28 +39,121 @@ def write_batches(stream: DataFrame, out: str, checkpoint: str):
     return stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out)
 
 
-def answer_requests(requests: DataFrame) -> DataFrame:
-    """JSON-RPC request lines to response lines: ping, unknown methods and broken lines; notifications get none."""
-    r = F.from_json("value", "id string, method string")
-    body = lambda payload: F.concat(F.lit('{"jsonrpc":"2.0","id":'), F.coalesce(r["id"], F.lit("null")), F.lit(","), payload, F.lit("}"))
-    bad = r.isNull() | (r["method"].isNull() & r["id"].isNull())
-    answer = F.when(bad, body(F.lit('"error":{"code":-32700,"message":"parse error"}'))).when(r["id"].isNull(), F.lit(None)).when(r["method"] == "ping", body(F.lit('"result":{}'))).otherwise(body(F.lit('"error":{"code":-32601,"message":"method not found"}')))
-    return requests.where(F.length(F.trim("value")) > 0).select(answer.alias("response")).where("response is not null")
+#: Arguments that the calls take; each is a string or absent.
+ARGUMENTS = ("content", "type", "level", "hash", "session_id")
+_TEXT, _LEVEL = {"type": "string"}, {"type": "string", "enum": list(LEVELS)}
+#: name: (what a call does, its arguments, those it must have)
+TOOLS = {
+    "compress": ("Reduce a text and keep its original by hash.", {"content": _TEXT, "type": {"type": "string", "enum": ["code", "output", "conversation", "json", "mcp"]}, "level": _LEVEL}, ["content"]),
+    "expand": ("Give the original text of a hash.", {"hash": _TEXT}, ["hash"]),
+    "stats": ("Sum up a session's reductions.", {"session_id": _TEXT}, []),
+    "bench": ("Measure the reducers on the sample texts.", {"level": _LEVEL}, []),
+    "diff": ("Show what reducing changed, with sizes.", {"hash": _TEXT}, ["hash"]),
+}
+
+
+def tool_list() -> str:
+    """The calls' descriptions as JSON."""
+    described = [{"name": n, "description": text, "inputSchema": {"type": "object", "properties": props} | ({"required": must} if must else {})} for n, (text, props, must) in TOOLS.items()]
+    return json.dumps({"tools": described})
+
+
+def parse_request(line: str) -> dict:
+    """State (bad, silent or open), raw id, method, tool and arguments of a request line."""
+    try:
+        value = json.loads(line, parse_constant=_no_number)
+    except (ValueError, RecursionError):
+        return {"state": "bad", "id": "null"}
+    if not isinstance(value, dict) or "id" not in value:
+        return {"state": "silent"}
+    text = lambda x: x if isinstance(x, str) else None
+    params = value.get("params") if isinstance(value.get("params"), dict) else {}
+    given = params.get("arguments") if isinstance(params.get("arguments"), dict) else {}
+    return {"state": "open", "id": json.dumps(value["id"]), "method": text(value.get("method")) or "", "tool": text(params.get("name")) or ""} | {k: text(given.get(k)) for k in ARGUMENTS}
+
+
+def _no_number(_):
+    raise ValueError("no JSON number")
+
+
+def parsed(value: Column) -> Column:
+    @F.pandas_udf("state string, id string, method string, tool string, " + ", ".join(f"{k} string" for k in ARGUMENTS))
+    def run(lines: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse_request(x) for x in lines], columns=["state", "id", "method", "tool", *ARGUMENTS], dtype=object)
+
+    return run(value)
+
+
+def pretty(value: Column) -> Column:
+    """JSON text with line breaks and two spaces for each depth."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: json.dumps(json.loads(t), indent=2, ensure_ascii=False) if t is not None else None)
+
+    return run(value)
+
+
+def quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    framed = F.to_json(F.struct(text.alias("t")))
+    return F.substring(framed, 6, F.length(framed) - 6)
+
+
+STORE = "id long, session_id string, content_type string, original_hash string, original string, compressed string, original_tokens long, compressed_tokens long"
+
+
+def answer_requests(requests: DataFrame, store: DataFrame | None = None) -> DataFrame:
+    """JSON-RPC request lines (value) to response lines; notifications and blank lines get none, broken lines an error.
+
+    store holds the events that expand, diff and stats read; requests may be a stream, which
+    joins it as it stands.  A line's id comes back as it was written: text, number or null.
+    """
+    spark = requests.sparkSession
+    store = spark.createDataFrame([], STORE) if store is None else store
+    lines = requests.where(F.length(F.trim("value")) > 0)
+    r = lines.select(parsed(F.col("value")).alias("r")).select("r.*").where("state <> 'silent'")
+    called = lambda name: (F.col("method") == "tools/call") & (F.col("tool") == name)
+    # compress: a text that no call asks for stays null and is not read
+    level = F.when(F.col("level").isin(*LEVELS), F.col("level")).otherwise("medium")
+    kind = F.when(F.col("type") == "code", "code:rust").when(F.col("type").isin("conversation", "convers"), "conversation").when(F.col("type") == "json", "json").when(F.col("type") == "mcp", "mcp_schema").when(F.col("type") == "output", "command_output").when(F.col("type").isNotNull(), "unknown")
+    r = measure(r.withColumn("level", level).withColumn("type_hint", kind).withColumn("content", F.when(called("compress"), F.col("content"))))
+    squeezed = F.to_json(F.struct("compressed", "compressed_tokens", "content_type", F.col("original_hash").alias("hash"), "original_tokens", F.format_string("%.1f%%", F.col("ratio") * 100).alias("ratio")))
+    r = r.withColumn("squeezed", F.when(F.col("content").isNotNull(), squeezed)).select("state", "id", "method", "tool", "hash", "level", "squeezed", F.coalesce("session_id", F.lit("current")).alias("session_id"))
+    # expand and diff: the newest event of a hash; stats: the totals of a session
+    newest = latest_by_hash(store, "original", "compressed", "content_type", "original_tokens", "compressed_tokens").withColumnRenamed("original_hash", "hash")
+    saved = saved_ratio(F.col("original_tokens"), F.col("compressed_tokens")) * 100
+    report = F.to_json(F.struct("hash", patch(F.col("original"), F.col("compressed")).alias("unified_diff"), F.octet_length("original").alias("original_bytes"), F.octet_length("compressed").alias("compressed_bytes"), "original_tokens", "compressed_tokens", saved.alias("savings_pct"), "content_type"))
+    r = r.join(newest.select("hash", F.col("original").alias("known"), report.alias("report")), "hash", "left")
+    totals = session_totals(store)
+    types = F.transform("by_type", lambda t: F.struct(t["content_type"].alias("content_type"), t["original_tokens"].alias("original_tokens"), t["compressed_tokens"].alias("compressed_tokens"), t["ratio"].alias("ratio"), t["n"].alias("count")))
+    names = [F.col("original_tokens").alias("total_original_tokens"), F.col("compressed_tokens").alias("total_compressed_tokens"), "tokens_saved", F.col("ratio").alias("overall_ratio"), F.col("n").alias("compressions_count"), types.alias("by_type")]
+    r = r.join(totals.select("session_id", F.to_json(F.struct("session_id", *names)).alias("totals")), "session_id", "left")
+    none = F.concat(F.lit('{"session_id":'), quoted(F.col("session_id")), F.lit(',"total_original_tokens":0,"total_compressed_tokens":0,"tokens_saved":0,"overall_ratio":0.0,"compressions_count":0,"by_type":[]}'))
+    bench = F.create_map(*(F.lit(x) for v in LEVELS for x in (v, json.dumps(timed_samples(v)))))
+    missing = lambda field: F.lit(f"Missing required field: {field}")
+    by_hash = lambda got: F.when(F.col("hash").isNull(), missing("hash")).otherwise(F.coalesce(got, F.concat(F.lit("content not found for hash "), F.col("hash"))))
+    text = F.when(called("compress"), F.coalesce(pretty(F.col("squeezed")), missing("content"))).when(called("expand"), by_hash(F.col("known"))).when(called("diff"), by_hash(pretty(F.col("report"))))
+    text = text.when(called("stats"), pretty(F.coalesce("totals", none))).when(called("bench"), bench[F.col("level")]).otherwise(F.concat(F.lit("Unknown tool: "), F.col("tool")))
+    failed = F.when(called("compress"), F.col("squeezed").isNull()).when(called("expand"), F.col("known").isNull()).when(called("diff"), F.col("report").isNull()).otherwise(~F.col("tool").isin("stats", "bench"))
+    content = F.concat(F.lit('{"content":[{"type":"text","text":'), quoted(text), F.lit('}],"isError":'), failed.cast("string"), F.lit("}"))
+    hello = F.lit(json.dumps({"protocolVersion": "2024-11-05", "capabilities": {"tools": {}}, "serverInfo": {"name": "condensa", "version": __version__}}))
+    result = F.when(F.col("method") == "ping", F.lit("{}")).when(F.col("method") == "initialize", hello).when(F.col("method") == "tools/list", F.lit(tool_list())).when(F.col("method") == "tools/call", content)
+    unknown = F.concat(F.lit('"error":{"code":-32601,"message":'), quoted(F.concat(F.lit("Method not found: "), F.col("method"))), F.lit("}"))
+    outcome = F.when(F.col("state") == "bad", F.lit('"error":{"code":-32700,"message":"Parse error"}')).otherwise(F.coalesce(F.concat(F.lit('"result":'), result), unknown))
+    return r.select(F.concat(F.lit('{"jsonrpc":"2.0","id":'), F.col("id"), F.lit(","), outcome, F.lit("}")).alias("response"))
 
 
 def running_budgets(events: DataFrame, total: int = BUDGET_TOTAL) -> DataFrame:
     """Level of each streamed event (session_id, category, seq, light, medium, aggressive) by its category's state."""
 
     def update(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
         used = state.get[0] if state.exists else 0
-        limit = int(total * float(np.float32(BUDGET_SHARES.get(key[1], 0.1))))
+        limit = category_limit(key[1], total)
         rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
         out = []
         for r in rows.itertuples():
-            p = used / limit if limit else 1.0
-            level = "light" if p < 0.5 else "medium" if p < 0.8 else "aggressive"
+            level = LEVELS[pressure_step(used, limit)]
             used += int(getattr(r, level))
             out.append((key[0], key[1], int(r.seq), level, used))
         state.update((used,))
