@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from condensa.functions import levels as L
@@ -11,29 +11,9 @@ from condensa.operators import analytics as A
 from condensa.operators import budget as B
 from condensa.operators import classify as C
 from condensa.operators import diffs, reducers
+from condensa.plans.registry import ORACLES, QUERIES, docs, query, spread, table  # noqa: F401
 from condensa.sources import store as S
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def docs(spark, d):
-    return table(spark, d, "documents")
-
 
 @query("SELECT doc_id, ceil(strlen(text) / 3.5)::BIGINT AS tokens, sha256(text) AS hash FROM documents")
 def tokens_and_hash(spark, d):
@@ -48,11 +28,9 @@ def line_count(spark, d):
     return docs(spark, d).select("doc_id", F.size(T.lines(F.col("text"))).cast("bigint").alias("n_lines"))
 
 
-@query("SELECT doc_id, CASE WHEN strlen(text) <= 100 THEN text ELSE list_aggregate(list_transform(list_filter(range(1, 101), lambda i: strlen(left(text, i)) <= 100), lambda i: i), 'max')::VARCHAR END AS cut FROM documents")
+@query("SELECT doc_id, CASE WHEN strlen(text) <= 100 THEN text ELSE left(text, list_max(list_filter(range(1, 101), lambda i: strlen(left(text, i)) <= 100))) || '...' END AS cut FROM documents")
 def byte_cut(spark, d):
-    t = F.col("text")
-    cut = T.cut_bytes(t, 100)
-    return docs(spark, d).select("doc_id", F.when(F.octet_length(t) <= 100, t).otherwise((F.length(cut) - 3).cast("string")).alias("cut"))
+    return docs(spark, d).select("doc_id", T.cut_bytes(F.col("text"), 100).alias("cut"))
 
 
 _FIRST5 = "string_split(text, chr(10))[1:5]"
@@ -72,7 +50,7 @@ _TYPE = f"""CASE WHEN strlen(trim(text)) < 10 THEN 'unknown'
 
 @query(f"SELECT doc_id, {_TYPE} AS content_type FROM documents")
 def detect_type(spark, d):
-    return docs(spark, d).select("doc_id", C.content_type(F.col("text")).alias("content_type"))
+    return spread(docs(spark, d).select("doc_id", "text")).select("doc_id", C.content_type(F.col("text")).alias("content_type"))
 
 
 @query(f"SELECT page_id, ({_LANG.replace('text', 'html')}) AS language FROM pages")
@@ -134,7 +112,7 @@ def reduce_logs_light(spark, d):
     return logs(spark, d).select("user_id", reducers.reduced(F.col("content"), F.lit("command_output"), F.lit("light")).alias("reduced"))
 
 
-@query()
+@query(_RUNS + " SELECT user_id, CASE WHEN len(rows) <= 30 THEN array_to_string(rows, chr(10)) ELSE array_to_string(rows[1:30], chr(10)) || chr(10) || '[... ' || (len(rows) - 30) || ' more lines truncated]' END AS reduced FROM f")
 def reduce_logs_aggressive(spark, d):
     return logs(spark, d).select("user_id", reducers.reduced(F.col("content"), F.lit("command_output"), F.lit("aggressive")).alias("reduced"))
 
@@ -174,14 +152,6 @@ def turn_scores(spark, d):
     return rows.select("conv_id", "turn", score.alias("score"))
 
 
-@query()
-def conversation_reduce(spark, d):
-    name = F.when(F.col("role") == "user", "User: ").when(F.col("role") == "assistant", "Assistant: ").otherwise("")
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(name, "text").alias("line")))).alias("x"))
-    text = F.array_join(F.transform("x", lambda e: e["line"]), "\n")
-    return rows.select("conv_id", *(reducers.reduced(text, F.lit("conversation"), F.lit(v)).alias(v) for v in L.LEVELS))
-
-
 _ITEMS = "SELECT l_orderkey, '[' || string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber) || ']' AS content, list(l_linenumber ORDER BY l_linenumber) AS xs, count(*) AS n FROM lineitem GROUP BY 1"
 
 
@@ -191,41 +161,17 @@ def json_array_sample(spark, d):
     return rows.select("l_orderkey", reducers.reduced(F.to_json("xs"), F.lit("json"), F.lit("medium")).alias("reduced"))
 
 
-@query()
-def json_reduce(spark, d):
-    o = table(spark, d, "orders").join(table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", F.struct("l_returnflag", F.struct("l_shipdate").alias("dates")).alias("flags")))).alias("items")), "o_orderkey")
-    text = F.to_json(F.struct("o_orderkey", "o_totalprice", "items"))
-    return o.select("o_orderkey", *(reducers.reduced(text, F.lit("json"), F.lit(v)).alias(v) for v in L.LEVELS))
-
-
-def tools(spark, d):
-    schema = F.struct(F.struct(F.struct(F.lit("integer").alias("type"), F.lit("size").alias("description")).alias("p_size")).alias("properties"))
-    tool = F.struct("p_partkey", F.struct(F.concat(F.lower(F.regexp_replace("p_type", " ", "_")), F.lit("__"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_name").alias("description"), schema.alias("input_schema")).alias("t"))
-    return table(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(tool)).alias("x")).select("p_brand", F.to_json(F.transform("x", lambda e: e["t"])).alias("content"))
-
-
-@query()
-def tool_list_reduce(spark, d):
-    return tools(spark, d).select("p_brand", *(reducers.reduced(F.col("content"), F.lit("mcp_schema"), F.lit(v)).alias(v) for v in L.LEVELS))
-
-
 @query("SELECT p_brand, CASE WHEN p_partkey % 3 = 0 THEN 'core' ELSE string_split(lower(p_type) || '__' || p_partkey, '__')[1] END AS ns, count(*) AS n FROM part GROUP BY 1, 2")
 def tool_namespaces(spark, d):
     name = F.when(F.col("p_partkey") % 3 == 0, F.lower("p_type")).otherwise(F.concat(F.lower("p_type"), F.lit("__"), F.col("p_partkey").cast("string")))
-    ns = F.when(F.contains(name, F.lit("__")), F.substring_index(name, "__", 1)).otherwise("core")
-    return table(spark, d, "part").groupBy("p_brand", ns.alias("ns")).agg(F.count("*").alias("n"))
+    return table(spark, d, "part").groupBy("p_brand", reducers.namespaces(name).alias("ns")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT p_partkey, p_size, CASE WHEN p_size > 50 THEN 'summary' ELSE 'full' END AS light,
  CASE WHEN p_size > 30 THEN 'signature' WHEN p_size > 10 THEN 'summary' ELSE 'full' END AS medium,
  CASE WHEN p_size > 10 THEN 'signature' WHEN p_size > 5 THEN 'summary' ELSE 'full' END AS aggressive FROM part""")
 def fold_decisions(spark, d):
-    def choice(level):
-        n, sig = F.col("p_size"), L.LIMITS["signature_over"][level]
-        out = F.when(n > L.LIMITS["summary_over"][level], "summary").otherwise("full")
-        return F.when(n > sig, "signature").otherwise(out) if sig else out
-
-    return table(spark, d, "part").select("p_partkey", "p_size", *(choice(v).alias(v) for v in L.LEVELS))
+    return table(spark, d, "part").select("p_partkey", "p_size", *(reducers.fold_decisions(F.col("p_size"), v).alias(v) for v in L.LEVELS))
 
 
 @query("SELECT s_suppkey, 'fn f' || s_suppkey || '() ' || CASE WHEN s_suppkey % 40 + 2 > 10 THEN '{ /* ... ' || (s_suppkey % 40 + 2) || ' lines */ }' WHEN s_suppkey % 40 + 2 > 6 THEN '{' || chr(10) || '    a();' || chr(10) || '    a();' || chr(10) || '    // ... ' || (s_suppkey % 40 - 3) || ' lines folded ...' || chr(10) || '    a();' || chr(10) || '}' ELSE '{' || chr(10) || repeat('    a();' || chr(10), s_suppkey % 40) || '}' END AS reduced FROM supplier")
@@ -250,12 +196,7 @@ def items(spark, d):
     return docs(spark, d).select(F.col("source").alias("session_id"), seq.alias("seq"), F.col("text").alias("content"))
 
 
-@query()
-def diff_best(spark, d):
-    return diffs.best_diffs(items(spark, d))
-
-
-def events(spark, d, maybe_json=False):
+def events(spark, d):
     """Reduction events of the documents: the session is the source, the reduced size half of the tokens, or all of few."""
     o = T.estimated_tokens(F.col("text"))
     kind = F.element_at(F.array(*map(F.lit, ["code:rust", "command_output", "json", "conversation"])), (F.col("doc_id") % 4 + 1).cast("int"))
@@ -271,9 +212,11 @@ def session_stats(spark, d):
     return A.type_stats(events(spark, d))
 
 
-@query(f"SELECT session_id, sum(o)::BIGINT AS original_tokens, sum(c)::BIGINT AS compressed_tokens, count(*) AS n, greatest(sum(o) - sum(c), 0)::BIGINT AS tokens_saved, 1 - sum(c)::DOUBLE / sum(o)::DOUBLE AS ratio FROM ({_EV}) GROUP BY 1")
+@query(f"""SELECT session_id, sum(original_tokens)::BIGINT AS original_tokens, sum(compressed_tokens)::BIGINT AS compressed_tokens, sum(n)::BIGINT AS n, greatest(sum(original_tokens) - sum(compressed_tokens), 0)::BIGINT AS tokens_saved,
+ 1 - sum(compressed_tokens)::DOUBLE / sum(original_tokens)::DOUBLE AS ratio, string_agg(content_type || ' ' || original_tokens || ' ' || compressed_tokens || ' ' || n, ', ' ORDER BY original_tokens DESC, content_type) AS by_type FROM ({_ST}) GROUP BY 1""")
 def session_totals(spark, d):
-    return A.session_totals(events(spark, d)).drop("by_type")
+    types = F.transform("by_type", lambda t: F.concat_ws(" ", t["content_type"], t["original_tokens"].cast("string"), t["compressed_tokens"].cast("string"), t["n"].cast("string")))
+    return A.session_totals(events(spark, d)).withColumn("by_type", F.array_join(types, ", "))
 
 
 @query(f"""SELECT session_id, n, score, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 70 THEN 'good' WHEN score >= 50 THEN 'moderate' ELSE 'poor' END AS assessment,
@@ -299,13 +242,12 @@ def recommendations(spark, d):
 
 @query(f"SELECT session_id, content_type, original_tokens, rank FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY original_tokens DESC, content_type)::INT AS rank FROM ({_ST})) WHERE rank <= 3")
 def top_consumers(spark, d):
-    rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("original_tokens"), "content_type"))
-    return A.type_stats(events(spark, d)).withColumn("rank", rank).where("rank <= 3").select("session_id", "content_type", "original_tokens", "rank")
+    return A.top_consumers(events(spark, d), 3).select("session_id", "content_type", "original_tokens", "rank")
 
 
-@query(f"SELECT original_hash, max(id) AS id, count(*) AS n FROM ({_EV}) GROUP BY 1")
+@query(f"SELECT original_hash, max(id) AS id, arg_max(session_id, id) AS session_id, arg_max(o, id) AS original_tokens FROM ({_EV}) GROUP BY 1")
 def latest_by_hash(spark, d):
-    return events(spark, d).groupBy("original_hash").agg(F.max("id").alias("id"), F.count("*").alias("n"))
+    return S.latest_by_hash(events(spark, d), "id", "session_id", "original_tokens")
 
 
 @query("WITH h AS (SELECT sha256(text) AS original_hash, text, doc_id FROM documents) SELECT a.original_hash, b.text AS original FROM (SELECT DISTINCT original_hash FROM h) a JOIN (SELECT original_hash, max(text) AS text FROM h GROUP BY 1) b USING (original_hash)")
@@ -348,17 +290,3 @@ _LIMIT = "CASE category WHEN 'conversation' THEN 40000 WHEN 'tool_output' THEN 3
 def budget_levels(spark, d):
     rows = events(spark, d).select("session_id", "id", B.category_of(F.col("content_type")).alias("category"), F.col("id").alias("seq"), F.col("compressed_tokens").alias("tokens"))
     return B.running_usage(rows).select("session_id", "id", "category", "used_before", "level")
-
-
-@query()
-def budget_feedback(spark, d):
-    o = F.col("original_tokens")
-    rows = events(spark, d).select("session_id", B.category_of(F.col("content_type")).alias("category"), F.col("id").alias("seq"), o.alias("light"), F.floor(o / 2).alias("medium"), F.floor(o / 4).alias("aggressive"))
-    return B.feedback(rows)
-
-
-@query()
-def reduce_documents(spark, d):
-    """The whole pipeline: classify, reduce, measure."""
-    rows = docs(spark, d).select(F.col("doc_id").alias("id"), F.col("source").alias("session_id"), F.col("text").alias("content"))
-    return S.measure(rows, "medium").select("id", "session_id", "content_type", "original_hash", "original_tokens", "compressed_tokens", "ratio")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from condensa.functions import text as T
 from condensa.operators import budget, classify, diffs, reducers
-from condensa.plans import catalogue
+from condensa.plans import catalogue, reductions, requests  # noqa: F401
 from condensa.sources import store
 from condensa.streaming import service
 
@@ -70,15 +70,81 @@ def test_stream(spark, tmp_path):
 
 
 def test_requests(spark):
-    df = spark.createDataFrame([('{"id":"1","method":"ping"}',), ('{"id":"2","method":"zap"}',), ("{broken",), ('{"method":"note"}',)], "value string")
-    got = [json.loads(r[0]) for r in service.answer_requests(df).collect()]
-    assert [r.get("error", {}).get("code") for r in got] == [None, -32601, -32700]
+    lines = ['{"id":"1","method":"ping"}', '{"id":"a\\"b","method":"zap"}', "{broken", '{"method":"note"}', '{"id":null,"method":"ping"}', '{"id":[1,"x"],"method":"ping"}', " ", "[1]"]
+    got = [json.loads(r[0]) for r in service.answer_requests(spark.createDataFrame([(x,) for x in lines], "value string")).collect()]
+    assert sorted(map(str, (r.get("error", {}).get("code") for r in got))) == ["-32601", "-32700", "None", "None", "None"]
+    assert sorted(map(str, (r["id"] for r in got if "result" in r))) == ["1", "None", "[1, 'x']"] and 'a"b' in [r["id"] for r in got]
+
+
+def test_request_stream(spark, tmp_path):
+    """Requests as a stream that joins a store as it stands."""
+    store = store_of(spark, ["hello\nhello\nhello"])
+    key = store.first()["original_hash"]
+    call = lambda i, name, **args: json.dumps({"id": i, "method": "tools/call", "params": {"name": name, "arguments": args}})
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/x.txt").write_text("\n".join([call(1, "expand", hash=key), call(2, "stats", session_id="s"), call(3, "bench", level="light"), call(4, "compress", content="a b c d e f", type="output")]))
+    q = service.write_batches(service.answer_requests(service.read_lines(spark, str(tmp_path / "in")), store), str(tmp_path / "out"), str(tmp_path / "ck"))
+    q.awaitTermination(120)
+    got = {r["id"]: r["result"] for r in (json.loads(x[0]) for x in spark.read.parquet(str(tmp_path / "out")).collect())}
+    text = lambda i: got[i]["content"][0]["text"]
+    assert text(1) == "hello\nhello\nhello" and json.loads(text(2))["compressions_count"] == 1
+    assert len(json.loads(text(3))) == 7 and json.loads(text(4))["compressed"] == "a b c d e f"
+
+
+def store_of(spark, texts):
+    rows = spark.createDataFrame([(i, "s", t, "command_output") for i, t in enumerate(texts)], "id long, session_id string, content string, type_hint string")
+    return store.measure(rows).withColumnRenamed("content", "original")
+
+
+def test_budget_streams(spark, tmp_path):
+    """Running budgets as state agree with the fold over the whole table; windows count events."""
+    rows = [("s", c, i, 9000 + i, 4000, 1000) for i in range(30) for c in ("code", "conversation")]
+    names = "session_id string, category string, seq long, light long, medium long, aggressive long"
+    df = spark.createDataFrame(rows, names)
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = service.running_budgets(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    service.write_batches(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    got = {(r["category"], r["seq"]): r["level"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(r["category"], r["seq"]): r["level"] for r in budget.feedback(df).collect()} and set(got.values()) == {"light", "medium", "aggressive"}
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    batch = service.windowed_counts(events).agg(F.sum("n")).first()[0]
+    assert batch == events.count()
+
+
+def test_store_codec(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    store.append(store_of(spark, ["a text"]).withColumnRenamed("original", "content"), str(tmp_path / "t"))
+    part = next((tmp_path / "t").rglob("*.parquet"))
+    assert pq.ParquetFile(part).metadata.row_group(0).column(0).compression == "ZSTD"
+
+
+def test_two_forms_agree(spark):
+    """Native columns and the row functions of the reducers."""
+    texts = ["", "a", "aé😀b" * 40, "x" * 99 + "é", "\x1b[31mred\x1b]0;t\x07 x\x1b[0m", "a\r\nb\r\n", "  pad\t", "\n\n"]
+    df = spark.createDataFrame([(i, t, texts[-1 - i]) for i, t in enumerate(texts)], "i int, a string, b string").orderBy("i")
+    rows = df.select(T.cut_bytes(F.col("a"), 100), T.strip_ansi(F.col("a")), T.lines(F.col("a")), T.line_similarity(F.col("a"), F.col("b")), T.shorter_trimmed(F.col("a"), 3)).collect()
+    for t, other, (cut, plain, lines, alike, short) in zip(texts, texts[::-1], rows, strict=True):
+        assert (cut, plain, lines) == (reducers.cut_bytes(t, 100), reducers._ANSI.sub("", t), reducers.split_lines(t))
+        assert alike == pytest.approx(reducers.similarity(t, other)) and short == (len(t.strip().encode()) < 3)
+
+
+def test_samples(spark):
+    from condensa.operators import samples
+
+    rows = samples.timed_samples("aggressive")
+    table = {r["engine"]: r for r in samples.measured_samples(spark, "aggressive").collect()}
+    assert [r["engine"] for r in rows] == [n for n, _, _ in samples.sample_texts()] and len(rows) == 7
+    for r in rows:
+        same = table[r["engine"]]
+        assert (r["original_tokens"], r["compressed_tokens"], r["tokens_saved"], r["quality_score"]) == (same["original_tokens"], same["compressed_tokens"], same["tokens_saved"], same["quality_score"])
+        assert r["median_ns"] > 0 and r["ns_per_token"] == pytest.approx(r["median_ns"] / r["original_tokens"])
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in "part supplier orders lineitem events documents pages conversations".split():
+    for t in "nation part supplier orders lineitem events documents pages conversations".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     got, want = catalogue.QUERIES[name](spark, DATA).toPandas(), con.execute(catalogue.ORACLES[name]).df()
     cols = sorted(want.columns)
