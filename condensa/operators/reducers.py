@@ -5,12 +5,13 @@ from __future__ import annotations
 import ast
 import json
 import re
+from json.encoder import encode_basestring
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from condensa.functions.levels import LIMITS, ROLES
+from condensa.functions.levels import LEVELS, LIMITS, ROLES
 
 _ANSI = re.compile(r"\x1b\[[0-9;]*[A-Za-z]|\x1b\].*?\x07")
 
@@ -192,7 +193,21 @@ def load_json(text: str):
 
 
 def dump(value, pretty: bool = True) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, indent=2 if pretty else None, separators=None if pretty else (",", ":"))
+    """JSON text with sorted keys; pretty: line breaks and two spaces for each depth."""
+    if pretty:
+        return _indented(value, "\n")
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+
+def _indented(value, line: str) -> str:
+    if isinstance(value, str):
+        return encode_basestring(value)
+    if not value or not isinstance(value, dict | list):
+        return json.dumps(value)
+    inner = line + "  "
+    if isinstance(value, dict):
+        return "{" + inner + ("," + inner).join([f"{encode_basestring(k)}: {_indented(value[k], inner)}" for k in sorted(value)]) + line + "}"
+    return "[" + inner + ("," + inner).join([_indented(v, inner) for v in value]) + line + "]"
 
 
 def sample_json(value, depth: int, level: str):
@@ -484,6 +499,27 @@ def reduce_text(text: str | None, kind: str | None, level: str | None) -> str |
     return by_type.get(kind, reduce_output)(text, level)
 
 
+def reduce_all(text: str | None, kind: str) -> tuple[str | None, ...]:
+    """The reduced text at every level; a JSON document is read once."""
+    if text is None or kind != "json":
+        return tuple(reduce_text(text, kind, v) for v in LEVELS)
+    try:
+        value = load_json(text)
+        return tuple(dump(sample_json(value, 0, v)) for v in LEVELS)
+    except (ValueError, RecursionError):
+        return tuple(reduce_json(text, v) for v in LEVELS)
+
+
+def reduced_levels(text: Column, kind: str) -> Column:
+    """Struct of the reduced text at each level, for texts of one type, in one pass."""
+
+    @F.pandas_udf(", ".join(f"{v} string" for v in LEVELS))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([reduce_all(t, kind) for t in texts], columns=list(LEVELS), dtype=object)
+
+    return run(text)
+
+
 def reduced(text: Column, kind: Column, level: Column) -> Column:
     """The reduced text: every type in one Arrow pass over its rows."""
 

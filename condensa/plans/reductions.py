@@ -13,10 +13,6 @@ from condensa.sources import store as S
 NL = "chr(10)"
 
 
-def reduced_levels(text, kind: str) -> list:
-    return [reducers.reduced(text, F.lit(kind), F.lit(v)).alias(v) for v in L.LEVELS]
-
-
 def any_of(column: str, marks: list[str]) -> str:
     return "(" + " OR ".join(f"contains({column}, '{m}')" for m in marks) + ")"
 
@@ -58,7 +54,7 @@ def _turn_form(v: str) -> str:
 def conversation_reduce(spark, d):
     name = F.when(F.col("role") == "user", "User: ").when(F.col("role") == "assistant", "Assistant: ").otherwise("")
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(name, "text").alias("line")))).alias("x"))
-    return rows.select("conv_id", *reduced_levels(F.array_join(F.transform("x", lambda e: e["line"]), "\n"), "conversation"))
+    return rows.select("conv_id", reducers.reduced_levels(F.array_join(F.transform("x", lambda e: e["line"]), "\n"), "conversation").alias("r")).select("conv_id", "r.*")
 
 
 @query(f"""WITH {_CHAT} SELECT conv_id, t::BIGINT AS t, CASE WHEN named = 1 THEN string_split(first, ':')[1] ELSE '' END AS role, n, score FROM y""")
@@ -106,7 +102,7 @@ def _items(v: str) -> str:
 def json_reduce(spark, d):
     items = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", F.struct("l_returnflag", F.struct("l_shipdate").alias("dates")).alias("flags")))).alias("items"))
     o = table(spark, d, "orders").join(items, "o_orderkey")
-    return o.select("o_orderkey", *reduced_levels(F.to_json(F.struct("o_orderkey", "o_totalprice", "items")), "json"))
+    return o.select("o_orderkey", reducers.reduced_levels(F.to_json(F.struct("o_orderkey", "o_totalprice", "items")), "json").alias("r")).select("o_orderkey", "r.*")
 
 
 _DEEP = [
@@ -153,7 +149,7 @@ def tool_list_reduce(spark, d):
     schema = F.struct(F.struct(F.struct(F.lit("integer").alias("type"), F.lit("size").alias("description")).alias("p_size")).alias("properties"))
     tool = F.struct("p_partkey", F.struct(F.concat(F.lower(F.regexp_replace("p_type", " ", "_")), F.lit("__"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_name").alias("description"), schema.alias("input_schema")).alias("t"))
     rows = table(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(tool)).alias("x"))
-    return rows.select("p_brand", *reduced_levels(F.to_json(F.transform("x", lambda e: e["t"])), "mcp_schema"))
+    return rows.select("p_brand", reducers.reduced_levels(F.to_json(F.transform("x", lambda e: e["t"])), "mcp_schema").alias("r")).select("p_brand", "r.*")
 
 
 _TOOL = '{"name":"t","description":"%s","input_schema":{"properties":{"p":{"type":"string","description":"x"},"q":{}}},"output_schema":{"a":1},"extra":2}' % ("d" * 90)
@@ -198,7 +194,7 @@ _ITEM_LOG = f"SELECT user_id, string_agg(CASE WHEN event_id % 11 = 0 THEN '' ELS
 def reduce_logs(spark, d):
     line = F.when(F.col("event_id") % 11 == 0, "").otherwise(F.concat("event_type", F.lit(" at item "), (F.col("event_id") % 13).cast("string"), F.lit(" of "), (F.col("event_id") % 3).cast("string")))
     rows = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", line.alias("line")))).alias("x"))
-    return rows.select("user_id", *reduced_levels(F.array_join(F.transform("x", lambda e: e["line"]), "\n"), "command_output"))
+    return rows.select("user_id", reducers.reduced_levels(F.array_join(F.transform("x", lambda e: e["line"]), "\n"), "command_output").alias("r")).select("user_id", "r.*")
 
 
 _FAILED = "event_id % 5 = 0"
@@ -215,7 +211,8 @@ def test_log_failures(spark, d):
     failed = F.concat(F.lit(" ... FAILED\nboom in "), "event_type", F.lit("\n"))
     line = F.concat(F.lit("test m::e"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 5 == 0, failed).when(F.col("event_id") % 7 == 0, " ... skipped").otherwise(" ... ok"))
     rows = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("x")).where("n >= 5")
-    return rows.select("user_id", *reduced_levels(F.concat(F.array_join(F.transform("x", lambda e: e["line"]), "\n"), F.lit("\nTests: done")), "command_output"))
+    text = F.concat(F.array_join(F.transform("x", lambda e: e["line"]), "\n"), F.lit("\nTests: done"))
+    return rows.select("user_id", reducers.reduced_levels(text, "command_output").alias("r")).select("user_id", "r.*")
 
 
 _MEASURED = f"""plain AS (SELECT doc_id, regexp_replace(text, '\\x1b\\[[0-9;]*[A-Za-z]', '', 'g') AS plain FROM documents),
