@@ -239,8 +239,8 @@ def labelled_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def words(texts: pd.Series) -> pd.Series:
         return pd.Series([sorted(set(_WORD.findall(t.lower()))) for t in texts], dtype=object)
 
-    texts = docs.where("text is not null").select("doc_id", F.sha2("text", 256).alias("h"), "text")
-    rows = sized_join(texts, some, F.col("doc_id") == F.col("label_id"), "inner", 16)
+    texts = docs.where("text is not null").select("doc_id", "text")
+    rows = sized_join(texts, some, F.col("doc_id") == F.col("label_id"), "inner", 16).withColumn("h", F.sha2("text", 256))
     # an id with many texts, and a text with many ids, count once
     rows = rows.groupBy("label_id").agg(F.min(F.struct("h", "text", "y")).alias("x")).select("x.*")
     once = rows.groupBy("h").agg(F.max("y").alias("y"), F.first("text").alias("text"))
@@ -284,7 +284,8 @@ def fit(sample: DataFrame) -> ToxicityModel:
         at = sent.value
         return pd.Series([sorted(at[f] for f in term_features(set(ws)) if f in at) for ws in rows], dtype=object)
 
-    held = [list(r[0]) for r in sample.where("y = 1").select(numbers("words").alias("n")).where("size(n) > 0").orderBy("n").toLocalIterator()] if found else []
+    # filtered here: a condition on the function's result would run it twice
+    held = [list(r[0]) for r in sample.where("y = 1").select(numbers("words")).toLocalIterator() if r[0]] if found else []
     n_bad = sample.where("y = 1").count()
     terms = learn_lexicon(asked_terms, [r["bad"] for r in found], [r["good"] for r in found], held, n_bad)
 
