@@ -10,8 +10,12 @@ survives is joined to cells.  Each cell's
 full sets are then searched exactly: the short inverted lists are merged, the long
 ones probed by binary search (DivideSkip), and documents reaching the overlap link.
 
-Groups and cells over BLOCK members are split into pairs of blocks, so no task
-holds an unbounded group; links meet again in the distributed components.
+No task holds an unbounded group.  A group over BLOCK members is first split by set
+size, as linked sets are of near sizes.  What stays over a block is linked block by block;
+one member stands for each component found, these are linked, and only members outside
+the group's largest component then meet all others.  So copies of one text cost a few
+passes however many they are, and no link between components is lost.  Links meet again
+in the distributed components.
 
 Defined results: null or empty text has no shingles, n_shingles 0, and links with
 nothing; fewer words than the width make one shingle; repeated rows give repeated
@@ -22,20 +26,24 @@ no rows.  Other columns of the input are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from condensa.llm._kit import components, durable, held_join, local_roots, may_be_in, row_key, sized_join, sorted_groups, windows_hash, without, word_hashes
 
-#: Members of a token group or cell that one task compares at once.
-BLOCK = 8192
+#: Members of a token group or cell that one task compares at once, and shingles that they hold.
+BLOCK, BLOCK_SHINGLES = 8192, 8_000_000
 #: A shingle is heavy from this share of the documents on (and from HEAVY_LEAST on).
 HEAVY_SHARE, HEAVY_LEAST = 1e-3, 16
 #: Shingles that are counted together before a chunk's repeated ones are passed on.
 CHUNK = 2_000_000
+#: Heavy shingles that the driver holds at most, the heaviest ones.
+HEAVY_MOST = 1_000_000
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -47,6 +55,11 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(windows_hash(h, list(range(min(width, len(h)))), seed=min(width, len(h))))
 
 
+def _text_hash() -> Column:
+    """Two hashes, by which one text of each set is found again."""
+    return F.struct(F.xxhash64("text").alias("x"), F.xxhash64("text", F.lit(1)).alias("y"))
+
+
 def set_key(s: np.ndarray) -> str:
     return xxhash.xxh3_128_hexdigest(s.tobytes())
 
@@ -96,12 +109,12 @@ def heavy_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]
     """Shingles in at least HEAVY_SHARE of the documents, with counts.
 
     At most 1 / HEAVY_SHARE times the mean set size of them exist, whatever the
-    number of documents, which bounds what the driver holds.  They only set the
+    number of documents; of these the driver holds HEAVY_MOST.  They only set the
     order of the prefixes: a miss costs time, never a link.
     """
     counts = docs.select("text").mapInPandas(_heavy_chunks(width), "token long, n long")
     least = max(HEAVY_LEAST, int(HEAVY_SHARE * docs.count()))
-    rows = counts.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
+    rows = counts.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(HEAVY_MOST).toPandas()
     token = rows["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
     return token[order], rows["n"].to_numpy(np.int64)[order]
@@ -221,6 +234,31 @@ def _group_edges(percent: int):
     return run
 
 
+def _far_edges(percent: int):
+    """Close pairs of a group's flagged rows with rows of another root."""
+
+    def run(batches):
+        for pdf in sorted_groups(batches, "g"):
+            for _, part in pdf.groupby("g", sort=False):
+                far = np.flatnonzero(part["far"].to_numpy(bool))
+                if not len(far):
+                    continue
+                maps = _Bitmaps(part["n"].to_numpy(), part["bits"].tolist(), percent)
+                node, root = part["r"].to_numpy(), part["root"].to_numpy()
+                a, b = [], []
+                for q in far:
+                    others = np.flatnonzero(root != root[q])
+                    got = others[maps.close(np.full(len(others), q), others)]
+                    if len(got):  # one link to each root is enough
+                        got = got[np.unique(root[got], return_index=True)[1]]
+                        a.append(np.full(len(got), node[q]))
+                        b.append(node[got])
+                if a:
+                    yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return run
+
+
 class DivideSkip:
     """Inverted lists over a block of sets, searched for members reaching an overlap."""
 
@@ -314,20 +352,100 @@ def _cell_edges(width: int, percent: int):
     return run
 
 
-def _in_blocks(df: DataFrame, group: str, members: str, key: str) -> DataFrame:
-    """Add g: the group itself, or for a group over BLOCK members each pair of blocks that a row is in."""
-    n = F.ceil(F.col(members) / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64(key), n).cast("int")
+def _far_cell_edges(width: int, percent: int):
+    """Links of a cell's flagged sets with sets of another root."""
+
+    def run(batches):
+        for pdf in sorted_groups(batches, "g"):
+            for _, part in pdf.groupby("g", sort=False):
+                flagged = part.groupby("k")["far"].max()
+                part = part.drop_duplicates("k")
+                if not flagged.any() or len(part) < 2:
+                    continue
+                far, root, keys = flagged[part["k"]].to_numpy(bool), part["root"].to_numpy(), part["k"].to_numpy()
+                index = DivideSkip([shingles(t, width) for t in part["text"]], percent)
+                found = [(keys[q], keys[x]) for q in np.flatnonzero(far) for x in index.search(q, root != root[q])]
+                if found:
+                    yield pd.DataFrame(found, columns=["a", "b"])
+
+    return run
+
+
+def _block(key: str, parts: Column) -> Column:
+    return F.pmod(F.xxhash64(key), parts).cast("int")
+
+
+def _own_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """Add g: a row's block of its group (t, of parts blocks)."""
+    return rows.withColumn("g", F.xxhash64("t", _block(key, F.col("parts"))))
+
+
+def _block_pairs(rows: DataFrame, key: str) -> DataFrame:
+    """Add g: the group itself, or for more parts each pair of blocks that a row is in."""
+    n, mine = F.col("parts").cast("int"), _block(key, F.col("parts"))
     others = F.filter(F.sequence(F.lit(0), n - 1), lambda x: x != mine)
     pairs = F.when(n <= 1, F.array(F.lit("0"))).otherwise(F.transform(others, lambda x: F.concat_ws("-", F.least(x, mine), F.greatest(x, mine))))
-    return df.withColumn("pair", F.explode(pairs)).withColumn("g", F.xxhash64(group, "pair"))
+    return rows.withColumn("pair", F.explode(pairs)).withColumn("g", F.xxhash64("t", "pair")).drop("pair")
+
+
+def _meet_far(rows: DataFrame, key: str) -> DataFrame:
+    """Rows by pairs of a block of the group and a block of its far rows; parts and far_parts count them."""
+    mine, far = _block(key, F.col("parts")), _block(key, F.col("far_parts"))
+    every = lambda n: F.sequence(F.lit(0), n.cast("int") - 1)
+    near = rows.withColumn("i", mine).withColumn("j", F.explode(every(F.col("far_parts")))).withColumn("far", F.lit(False))
+    away = rows.where("far").withColumn("j", far).withColumn("i", F.explode(every(F.col("parts"))))
+    return near.unionByName(away).withColumn("g", F.xxhash64("t", "i", "j")).drop("i", "j")
+
+
+def group_links(rows: DataFrame, key: str, ship, within, across, kind: str) -> DataFrame:
+    """Edges (a, b) that join what is linked in each group t of rows (t, parts, key, n).
+
+    ship adds the payload to rows of (g, key, ...); within links the rows of a g, across
+    the far rows of a g with those of another root.  kind is the key's type.
+    """
+    def links(df: DataFrame, fn) -> DataFrame:
+        wide = ship(df)
+        wide = wide.select(*(c for c in wide.columns if c not in ("t", "parts", "far_parts")))
+        return durable(wide.repartition("g").sortWithinPartitions("g").mapInPandas(fn, f"a {kind}, b {kind}"), "jaccard-links")
+
+    edges = links(_own_blocks(rows, key), within)
+    giant = rows.where("parts > 1")
+    if not giant.limit(1).count():
+        return edges
+
+    def rooted(found: DataFrame) -> DataFrame:
+        roots = components(found).withColumnRenamed("node", key)
+        return durable(giant.join(roots, key, "left").withColumn("root", F.coalesce("root", key)), "jaccard-giant")
+
+    # one member for each component of a group
+    ones = rooted(edges).groupBy("t", "root").agg(F.min(F.struct(key, "n")).alias("x")).select("t", f"x.{key}", "x.n")
+    counts = ones.groupBy("t").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    edges = edges.unionByName(links(_block_pairs(ones.join(counts, "t"), key), within))
+    known = rooted(edges)
+    sizes = known.groupBy("t", "root").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("t").agg(F.max(F.struct("m", "root")).alias("x"), F.sum("m").alias("all")).select("t", F.col("x.root").alias("main"), F.ceil((F.col("all") - F.col("x.m")) / BLOCK).alias("far_parts"))
+    todo = known.join(largest.where("far_parts > 0"), "t").withColumn("far", F.col("root") != F.col("main")).drop("main")
+    if not todo.limit(1).count():
+        return edges
+    return edges.unionByName(links(_meet_far(todo, key), across))
+
+
+def _by_size(members: DataFrame, percent: int) -> DataFrame:
+    """Members (token, r, n, v) as groups (t, parts, r, n): a token's, or if that is over BLOCK, those of its sizes next to each other."""
+    small = members.where(F.col("v") <= BLOCK).select(F.xxhash64("token").alias("t"), F.lit(1).cast("long").alias("parts"), "r", "n")
+    large = members.where(F.col("v") > BLOCK)
+    # sizes of linked sets fall into the same band or into two next to each other
+    band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
+    banded = large.withColumn("band", F.explode(F.array(band, band + 1))).select(F.xxhash64("token", "band").alias("t"), "r", "n")
+    counts = banded.groupBy("t").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
+    return small.unionByName(banded.join(counts, "t").select("t", "parts", "r", "n"))
 
 
 def _with_near_size(rows: DataFrame, percent: int) -> DataFrame:
     """The members of a group g that have another of a size they could be linked with.
 
     Sizes of linked sets differ by the similarity at most, so the next smaller and
-    the next larger member tell.  A group is a block or a pair of blocks here.
+    the next larger member tell.
     """
     by_size = Window.partitionBy("g").orderBy("n")
     seen = rows.withColumn("below", F.lag("n").over(by_size)).withColumn("above", F.lead("n").over(by_size))
@@ -339,7 +457,7 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     docs = docs.select("doc_id", "text")
     sc = docs.sparkSession.sparkContext
     heavy = sc.broadcast(heavy_shingles(docs, width))
-    described = docs.select("doc_id", F.xxhash64("text").alias("th"), _describe(width, percent, heavy)("text").alias("x"))
+    described = docs.select("doc_id", _text_hash().alias("th"), _describe(width, percent, heavy)("text").alias("x"))
     rows = durable(described.select("doc_id", "th", "x.*"), "jaccard-rows")
     full = rows.where("n > 0")
     reps = durable(full.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.min("th").alias("th"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "jaccard-reps")
@@ -349,17 +467,18 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     tokens = post.groupBy("token").agg(F.count("*").cast("int").alias("v"), F.bit_xor("r").alias("x"), F.bit_xor(F.xxhash64("r")).alias("y")).where("v > 1")
     kept = durable(tokens.groupBy("v", "x", "y").agg(F.min("token").alias("token")).select("token", "v"), "jaccard-tokens")
     members = sized_join(may_be_in(post, "token", kept), kept, "token", "inner", 24)
-    near = _with_near_size(_in_blocks(members, "token", "v", "r").select("g", "r", "n"), percent)
-    shipped = near.join(reps_r.select("r", "bits"), "r").select("g", "r", "n", "bits")
-    close = shipped.repartition("g").sortWithinPartitions("g").mapInPandas(_group_edges(percent), "a long, b long")
+    bits = reps_r.select("r", "bits")
+    close = group_links(_by_size(members, percent), "r", lambda df: _with_near_size(df, percent).join(bits, "r"), _group_edges(percent), _far_edges(percent), "long")
     cells = components(close).withColumnRenamed("node", "r").withColumnRenamed("root", "cell")
     cells = cells.unionByName(cells.select(F.col("cell").alias("r"), "cell").distinct())
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("m"))
-    want = durable(cells.join(sizes, "cell").join(reps_r.select("r", "k", "th"), "r").drop("r"), "jaccard-cells")
+    named = cells.join(reps_r.select("r", "k", "th", "n"), "r").drop("r")
+    sizes = named.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("parts"))
+    want = durable(named.join(sizes, "cell"), "jaccard-cells")
     # one text of each set: copies are dropped where they lie, before any is shipped
-    held = held_join(docs.where("text is not null").select(F.xxhash64("text").alias("th"), "text"), want, "th", 120)
-    texts = held.groupBy("k").agg(F.first("cell").alias("cell"), F.first("m").alias("m"), F.first("text").alias("text"))
-    exact = _in_blocks(texts, "cell", "m", "k").select("g", "k", "text").repartition("g").sortWithinPartitions("g").mapInPandas(_cell_edges(width, percent), "a string, b string")
+    held = held_join(docs.where("text is not null").select(_text_hash().alias("th"), "text"), want.select("th", F.col("k").alias("set")), "th", 80)
+    texts = durable(held.groupBy("set").agg(F.first("text").alias("text")).withColumnRenamed("set", "k"), "jaccard-texts")
+    grouped = want.select(F.xxhash64("cell").alias("t"), "parts", "k", "n")
+    exact = group_links(grouped, "k", lambda df: df.join(texts, "k"), _cell_edges(width, percent), _far_cell_edges(width, percent), "string")
     links = components(exact)
     ids = reps.select("k", "doc_id").join(links.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     low = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
