@@ -1,16 +1,14 @@
-"""Places of pattern matches in a text, by DataFrame functions only."""
+"""Places of pattern matches in texts, by DataFrame functions only."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A private-use character marks the cuts; the text's own ones are swapped for another of no word or pattern class.
 CUT, SWAP = "\ue000", "\ue001"
-#: Steps of a running sum: 2^STEPS entries are more than a text can have.
-STEPS = 31
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -18,39 +16,28 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def running_sums(values: Column) -> Column:
-    """Sums of an array's entries up to each place, by doubling steps: time grows as n log n, nothing is copied entry by entry."""
-    def doubled(step: int) -> Callable[[Column], Column]:
-        def use(xs: Column) -> Column:
-            return F.when(F.size(xs) <= step, xs).otherwise(F.transform(xs, lambda x, i: x + F.when(i >= step, F.get(xs, i - step)).otherwise(F.lit(0).cast("bigint"))))
+def match_pieces(text: Column, pattern: str, piece_ok: Callable[[Column], Column]) -> Column:
+    """Array of struct(n, hit): the text's pieces in and between leftmost non-overlapping matches.
 
-        return use
-
-    for k in range(STEPS):
-        values = bound(values, doubled(1 << k))
-    return values
-
-
-def match_spans(text: Column, pattern: str, piece_ok: Callable[[Column], Column], kind: str, order: int) -> Column:
-    """Array of struct(start, ord, end, kind) of leftmost non-overlapping matches.
-
-    Matches are wrapped in cut marks, the text is split at them, and running
-    lengths (code points) give the places.  piece_ok takes a match and tells
-    whether it counts.
+    Matches are wrapped in cut marks and the text is split at them, so every other piece
+    is a match.  n counts code points; hit tells a match that piece_ok lets count.
     """
     marked = F.regexp_replace(F.translate(text, CUT, SWAP), pattern, f"{CUT}$0{CUT}")
+    return F.transform(F.split(marked, CUT), lambda piece, i: F.struct(F.length(piece).cast("long").alias("n"), ((i % 2 == 1) & piece_ok(piece)).alias("hit")))
 
-    def spans(pieces: Column) -> Column:
-        def placed(ends: Column) -> Column:
-            def one(piece: Column, i: Column) -> Column:
-                end = F.get(ends, i)
-                return F.when((i % 2 == 1) & piece_ok(piece), F.struct((end - F.length(piece)).alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind")))
-
-            return F.filter(F.transform(pieces, one), lambda x: x.isNotNull())
 
-        return bound(running_sums(F.transform(pieces, lambda p: F.length(p).cast("bigint"))), placed)
+def spans_of(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, spans (array of struct(start, ord, end, kind)) of rows keys, ord, kind, pieces; rows of equal keys and ord count once.
 
-    return bound(F.split(marked, CUT), spans)
+    Running sums over the pieces give the places: the work grows with the pieces, however
+    many a text has.  Texts without a counted match have no row.
+    """
+    once = pieces.dropDuplicates([*keys, "ord"])
+    each = once.select(*keys, "ord", "kind", F.posexplode("pieces").alias("at", "piece"))
+    end = F.sum("piece.n").over(Window.partitionBy(*keys, "ord").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    found = each.withColumn("end", end).where("piece.hit")
+    span = F.struct((F.col("end") - F.col("piece.n")).alias("start"), "ord", "end", "kind")
+    return found.groupBy(*keys).agg(F.collect_list(span).alias("spans"))
 
 
 def listed(spans: Column) -> Column:

@@ -10,12 +10,12 @@ from condensa.llm.licenses import op8_licenses
 from condensa.llm.mixing import op1_mixing
 from condensa.llm.ngram_jaccard import op10_ngram_jaccard
 from condensa.llm.pii import op9_pii
-from condensa.llm.secrets import op4_secrets
-from condensa.llm.sharding import op6_sharding
+from condensa.llm.secrets import OP4_SQL, op4_secrets
+from condensa.llm.sharding import OP6_SQL, op6_sharding
 from condensa.llm.toxicity import op5_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_html_extract, op3_decontaminate, op4_secrets, op5_toxicity, op6_sharding, op7_exact_topk, op8_licenses, op9_pii, op10_ngram_jaccard)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES = {"op7_exact_topk": OP7_SQL}
+ORACLES = {"op4_secrets": OP4_SQL, "op6_sharding": OP6_SQL, "op7_exact_topk": OP7_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

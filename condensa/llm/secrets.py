@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from condensa.llm._kit import durable, held_join, sized_join
-from condensa.llm._spans import listed, match_spans
+from condensa.llm._spans import listed, match_pieces, spans_of
 
 _ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 
@@ -103,14 +103,22 @@ def find_secrets(docs: DataFrame, rules: dict[str, tuple] = RULES) -> DataFrame:
     queries = {k: q for k, (_, alts, _) in rules.items() if (q := trigram_query(alts))}
     grams = sorted(set(itertools.chain.from_iterable(b for q in queries.values() for b in q)))
     found = durable(candidates(build_index(keyed.select("key", "text"), grams), queries), "secret-candidates")
-    none = F.array().cast(SPANS)
-    each = {k: match_spans(F.col("text"), pattern, ok, k, n) for n, (k, (pattern, _, ok)) in enumerate(rules.items())}
-    listed_rules = F.concat(none, *(F.when(F.array_contains("rules", k), each[k]).otherwise(none) for k in queries))
-    hits = held_join(keyed.select("key", "check", "text"), found, "key", 48).select("key", "check", listed_rules.alias("hits")).where("size(hits) > 0")
-    hits = durable(hits.dropDuplicates(["key", "check"]), "secret-hits")  # equal rows have equal spans
-    full = F.concat(none, *(F.when(F.col("text").rlike(rules[k][0]), each[k]).otherwise(none) for k in rules if k not in queries))
-    rows = sized_join(keyed.select("doc_id", "key", "check", full.alias("full")), hits, ["key", "check"], "left", 256)
-    return rows.select("doc_id", F.concat("full", F.coalesce("hits", none)).alias("spans"))
+    order = list(rules)
+
+    def pieces(kinds, asked) -> Column:
+        """The pieces of each kind that is asked for and met."""
+        def one(k: str) -> Column:
+            pattern, _, ok = rules[k]
+            got = F.struct(F.lit(order.index(k)).alias("ord"), F.lit(k).alias("kind"), match_pieces(F.col("text"), pattern, ok).alias("pieces"))
+            return F.when(asked(k) & F.col("text").rlike(pattern), got)
+
+        return F.explode(F.array_compact(F.array(*map(one, kinds)))).alias("p")
+
+    verified = held_join(keyed.select("key", "check", "text"), found, "key", 48).select("key", "check", pieces(queries, lambda k: F.array_contains("rules", k)))
+    scanned = keyed.select("key", "check", pieces([k for k in rules if k not in queries], lambda k: F.lit(True)))
+    hits = durable(spans_of(verified.unionByName(scanned).select("key", "check", "p.*"), ["key", "check"]), "secret-spans")
+    rows = sized_join(keyed.select("doc_id", "key", "check"), hits, ["key", "check"], "left", 256)
+    return rows.select("doc_id", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -123,3 +131,28 @@ def digest(found: DataFrame) -> DataFrame:
 
 def op4_secrets(spark, sf_dir):
     return digest(find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def _sql_spans(order: int, kind: str, pattern: str, test: str) -> str:
+    """SQL: the places of a kind's matches, by the lengths of the matches and of what stands between them."""
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT r, {order} AS ord, '{kind}' AS kind, p.start_ AS start_, p.start_ + length(m) AS end_ FROM (
+ SELECT r, m, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'at': i, 'start_': list_sum(list_transform(rest[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT}})) AS p, unnest(m) AS match
+ FROM (SELECT r, regexp_extract_all(text, '{quoted}') AS m, string_split_regex(text, '{quoted}') AS rest FROM d WHERE regexp_matches(text, '{quoted}'))) q(r, m_, p, m) WHERE {test}"""
+
+
+def _sql() -> str:
+    pattern = {k: p for k, (p, _, _) in RULES.items()}
+    value = _ASSIGN.replace("'", "''")
+    tests = {"assign": f"length(regexp_extract(m, '{value}', 2)) >= 6", "access": "length(m) >= 20"}
+    kinds = " UNION ALL ".join(_sql_spans(n, k, p, tests.get(k, "TRUE")) for n, (k, p) in enumerate(pattern.items()))
+    text = "kind || ':' || start_ || ':' || end_"
+    base = ", ".join(f"'{k}'" for k in BASE)
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), s AS ({kinds}),
+g AS (SELECT r, {counts}, string_agg({text}, ',' ORDER BY start_, ord) FILTER (kind IN ({base})) AS base, string_agg({text}, ',' ORDER BY start_, ord) AS spans FROM s GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)"""
+
+
+OP4_SQL = _sql()

@@ -14,34 +14,41 @@ are not read by op6 and pass assign_shards, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from condensa.llm._kit import buckets, durable, free_name
 
-#: 2**53, the draws' resolution.
-STEPS = float(1 << 53)
+#: Bits of a draw: 13 hexadecimal digits of an MD5 sum.
+DIGITS, STEPS = 13, float(1 << 52)
+NULL_KEY = "null"
 
 
-def rendezvous(key, weights: list[float]):
-    """Column: the shard of a key; a shard's chance is its share of the weights."""
-    def draw(shard: int, weight: float):
-        u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 11).cast("double") + F.lit(0.5)) / F.lit(STEPS)
+def draw(*parts: Column) -> Column:
+    """A pseudorandom whole number below STEPS of the parts' texts."""
+    text = F.concat_ws(":", *(F.coalesce(p.cast("string"), F.lit(NULL_KEY)) for p in parts))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, DIGITS), 16, 10).cast("long")
+
+
+def rendezvous(key: Column, weights: list[float]) -> Column:
+    """The shard of a key; a shard's chance is its share of the weights."""
+    def bid(shard: int, weight: float) -> Column:
+        u = (draw(key, F.lit(shard)).cast("double") + F.lit(0.5)) / F.lit(STEPS)
         return F.struct((F.lit(float(weight)) / -F.log(u)).alias("score"), F.lit(-shard).alias("shard"))
 
     if len(weights) == 1:
         return F.lit(0)
-    return -F.greatest(*(draw(i, w) for i, w in enumerate(weights)))["shard"]
+    return -F.greatest(*(bid(i, w) for i, w in enumerate(weights)))["shard"]
 
 
 def shard_rows(df: DataFrame, key: str, weights: list[float], tie: list[str]) -> DataFrame:
-    """Add shard and slot; rows of a shard are ordered by a hash, then key and tie."""
-    placed = durable(df.withColumn("shard", rendezvous(F.col(key), weights)).withColumn("place", F.xxhash64(key, *tie)), "shards")
+    """Add shard and slot; rows of a shard are ordered by a hash, then key (null last) and tie."""
+    placed = durable(df.withColumn("shard", rendezvous(F.col(key), weights)).withColumn("place", draw(F.lit("place"), F.col(key), *map(F.col, tie))), "shards")
     n = buckets(placed.count() // len(weights) + 1)
-    placed = placed.withColumn("part", F.pmod("place", F.lit(n)).cast("int"))
+    placed = placed.withColumn("part", F.floor(F.col("place") / F.lit(STEPS) * n).cast("int"))
     sizes = placed.groupBy("shard", "part").agg(F.count("*").alias("rows"))
     before = sizes.withColumn("start", F.sum("rows").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    inside = F.row_number().over(Window.partitionBy("shard", "part").orderBy("place", key, *tie)) - 1
+    inside = F.row_number().over(Window.partitionBy("shard", "part").orderBy("place", F.col(key).asc_nulls_last(), *tie)) - 1
     out = placed.withColumn("inside", inside).join(before.drop("rows"), ["shard", "part"])
     return out.withColumn("slot", F.col("inside") + F.coalesce("start", F.lit(0))).drop("inside", "start", "part", "place")
 
@@ -62,3 +69,21 @@ def assign_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
 
 def op6_sharding(spark, sf_dir):
     return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _sql_draw(*parts: str) -> str:
+    return "('0x' || left(md5(" + " || ':' || ".join(f"coalesce(({p})::VARCHAR, '{NULL_KEY}')" for p in parts) + f"), {DIGITS}))::BIGINT"
+
+
+def _sql_shard(shards: int) -> str:
+    bids = ", ".join(f"1.0::DOUBLE / -ln(({_sql_draw('doc_id', str(i))}::DOUBLE + 0.5) / {STEPS})" for i in range(shards))
+    return f"list_position([{bids}], list_max([{bids}])) - 1"
+
+
+#: A text's CRC-32 by a table of 256 remainders.
+OP6_SQL = f"""
+WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8))) AS text_crc32 FROM documents, t),
+s AS (SELECT *, ({_sql_shard(16)})::INT AS shard, ({_sql_shard(17)})::INT AS grown_shard FROM d)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY {_sql_draw("'place'", 'doc_id', 'text_crc32', 'size')}, doc_id NULLS LAST, text_crc32, size) - 1 AS slot, grown_shard FROM s
+"""
