@@ -150,3 +150,28 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 def op8_licenses(spark, sf_dir):
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _sql() -> str:
+    rows = ", ".join(f"({t}, '{label}', '{w}', {i})" for t, label, w, i in template_postings())
+    phrases = ", ".join(f"({t}, {p.split()!r}, {len(text.split())})" for t, (_, p, text) in enumerate(TEMPLATES))
+    bases = " OR ".join(f"(x.w = '{p.split()[0]}' AND {p.split()!r} = d.w[x.i + 1:x.i + {len(p.split())}])" for p in BASE)
+    label = "CASE x.w " + " ".join(f"WHEN '{p.split()[0]}' THEN '{name}'" for p, name in BASE.items()) + " END"
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+x AS MATERIALIZED (SELECT r, unnest(w) AS w, unnest(range(len(w))) AS i FROM d),
+b AS (SELECT x.r, x.i, {label} AS label FROM x JOIN d ON d.r = x.r WHERE {bases}),
+t AS (SELECT * FROM (VALUES {rows}) v(template, label, w, tpos)), q AS (SELECT * FROM (VALUES {phrases}) v(template, phrase, length)),
+f AS (SELECT w, count(DISTINCT r) AS df FROM x WHERE w IN (SELECT w FROM t) GROUP BY w),
+k AS (SELECT *, dense_rank() OVER (PARTITION BY template ORDER BY df, w) AS rank FROM t JOIN f USING (w)),
+ix AS (SELECT *, count(*) OVER (PARTITION BY template) AS of_ FROM k WHERE rank <= {INDEXED}),
+al AS (SELECT x.r, ix.template, ix.label, ix.of_, x.i - ix.tpos AS off, count(*) AS n FROM x JOIN ix ON ix.w = x.w GROUP BY ALL HAVING count(*) >= {AGREE} AND count(*) * {SHARE[1]} >= ix.of_ * {SHARE[0]}),
+v AS (SELECT DISTINCT al.r, al.label, al.n / al.of_ AS share FROM al JOIN q USING (template) JOIN d ON d.r = al.r WHERE len(list_filter(range(off - {NEAR}, off + length + {NEAR} + 1), lambda p: p >= 0 AND d.w[p + 1:p + len(phrase)] = phrase)) > 0),
+g AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base FROM b GROUP BY r),
+o AS (SELECT r, list(DISTINCT label) AS own, max(share) AS best FROM v GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
+ array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(own, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN g USING (r) LEFT JOIN o USING (r)"""
+
+
+OP8_SQL = _sql()

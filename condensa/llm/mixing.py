@@ -213,3 +213,20 @@ def mixed_documents(docs: DataFrame, share: float = 1.5, cap: float = 2.0, cycle
 
 def op1_mixing(spark, sf_dir):
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def mixing_targets(spark, sf_dir):
+    """The columns of op1_mixing that no draw decides."""
+    return op1_mixing(spark, sf_dir).select("doc_id", "size", "source_size", "target")
+
+
+#: Sources in the order in which their targets reach twice their size; the first one that does not ends the run of those that do.
+TARGETS_SQL = """
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY source_size / w, source) AS i, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
+c AS (SELECT *, total - coalesce(sum(2 * source_size) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_, sum(w) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM o),
+k AS (SELECT coalesce(min(i), (SELECT count(*) + 1 FROM c)) AS first FROM c WHERE left_ * w / weights <= 2 * source_size),
+t AS (SELECT source, source_size, CASE WHEN i < first THEN 2.0::DOUBLE * source_size ELSE (SELECT left_ FROM c WHERE i = first) * w / (SELECT weights FROM c WHERE i = first) END AS target FROM c, k)
+SELECT d.doc_id, d.size::BIGINT AS size, t.source_size, t.target FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source
+"""

@@ -506,3 +506,17 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 def op10_ngram_jaccard(spark, sf_dir):
     return ngram_jaccard(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90).drop("k")
+
+
+#: All pairs that share a shingle, and the smallest id of each component.
+OP10_SQL = """
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT r, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END)) AS x FROM d),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS MATERIALIZED (SELECT a.r AS a, b.r AS b, count(*) AS common FROM s a JOIN s b ON a.x = b.x AND a.r < b.r GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * common >= 90 * (x.n + y.n - common)),
+l AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+c AS (SELECT r, r AS reached FROM n UNION SELECT c.r, l.b FROM c JOIN l ON l.a = c.reached),
+m AS (SELECT c.r, min(d.doc_id) AS component_id FROM c JOIN d ON d.r = c.reached GROUP BY c.r)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN n.n IS NULL THEN d.doc_id ELSE m.component_id END AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)
+"""

@@ -376,3 +376,33 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 def op9_pii(spark, sf_dir):
     return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def pii_base(spark, sf_dir):
+    """The columns of op9_pii that patterns alone decide."""
+    return op9_pii(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in BASE), "base_sha256")
+
+
+def _sql() -> str:
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn_sum = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN ({digits})[-i]::INT WHEN ({digits})[-i]::INT > 4 THEN ({digits})[-i]::INT * 2 - 9 ELSE ({digits})[-i]::INT * 2 END))"
+    kinds = {
+        "email": ("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+", "TRUE"),
+        "ip": ("[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR (length(ltrim(x, '0')) = 3 AND ltrim(x, '0') > '255'))) = 0"),
+        "card": ("[0-9]([\\x20-]?[0-9])+", f"length({digits}) BETWEEN 12 AND 19 AND {luhn_sum} % 10 = 0"),
+        "phone": ("\\+[0-9][\\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 9 AND 15"),
+    }
+    found = " UNION ALL ".join(
+        f"""SELECT r, {n} AS ord, '{k}' AS kind, p AS start_, p + length(m) AS end_ FROM (SELECT r, unnest(m) AS m,
+ unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(rest[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT)) AS p
+ FROM (SELECT r, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS rest FROM d WHERE regexp_matches(text, '{pattern}'))) WHERE {test}"""
+        for n, (k, (pattern, test)) in enumerate(kinds.items())
+    )
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), s AS ({found}),
+g AS (SELECT r, {counts}, string_agg(kind || ':' || start_ || ':' || end_, ',' ORDER BY start_, ord) AS base FROM s GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256 FROM d LEFT JOIN g USING (r)"""
+
+
+PII_BASE_SQL = _sql()
