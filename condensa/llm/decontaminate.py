@@ -149,3 +149,26 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op3_decontaminate(spark, sf_dir):
     return overlaps(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def _sql() -> str:
+    masks = ", ".join(f"({len(m)}, {[i for i, c in enumerate(m) if c == '1']})" for m in MASKS)
+    words = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+    key = "array_to_string(list_transform(o, lambda x: w[p + x + 1]), ' ')"
+    return f"""
+WITH m AS (SELECT * FROM (VALUES {masks}) v(span, o)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents WHERE text IS NOT NULL),
+b AS MATERIALIZED (SELECT row_number() OVER () AS n, item_id, {words} AS w FROM benchmark WHERE text IS NOT NULL),
+bo AS (SELECT n, w, o FROM b JOIN m ON span <= len(w) UNION ALL SELECT n, w, range(len(w)) FROM b WHERE len(w) BETWEEN 1 AND (SELECT min(span) FROM m) - 1),
+bs AS (SELECT n, o, p, {key} AS k FROM (SELECT *, unnest(range(len(w) - o[-1])) AS p FROM bo)),
+ds AS (SELECT r, o, p, {key} AS k FROM (SELECT d.*, x.o, unnest(range(len(w) - x.o[-1])) AS p FROM d JOIN (SELECT DISTINCT o FROM bs) x ON len(w) > x.o[-1])),
+g AS MATERIALIZED (SELECT DISTINCT ds.r, bs.n, ds.p - bs.p AS shift FROM ds JOIN bs ON ds.o = bs.o AND ds.k = bs.k),
+e AS MATERIALIZED (SELECT r, n, shift, i, row_number() OVER (PARTITION BY r, n, shift ORDER BY i) AS c FROM (
+ SELECT g.*, unnest(list_filter(range(greatest(0, -shift), least(len(b.w), len(d.w) - shift)), lambda i: b.w[i + 1] = d.w[i + shift + 1])) AS i FROM g JOIN b USING (n) JOIN d USING (r))),
+s AS (SELECT x.r, x.n, x.shift, y.i - x.i + 1 AS n_words, x.i + x.shift AS first_word, y.c - x.c + 1 AS n_equal FROM e x JOIN e y ON x.r = y.r AND x.n = y.n AND x.shift = y.shift AND y.c >= x.c JOIN b ON b.n = x.n
+ WHERE y.i - x.i + 1 >= least({LEAST_WORDS}, len(b.w)) AND 100 * (y.c - x.c + 1) >= {LEAST_EQUAL} * (y.i - x.i + 1)),
+t AS (SELECT *, row_number() OVER (PARTITION BY r, n ORDER BY n_words DESC, first_word, shift) AS rank FROM s)
+SELECT doc_id, item_id, n_words::INT AS n_words, first_word::INT AS first_word, n_equal::INT AS n_equal FROM t JOIN d USING (r) JOIN b USING (n) WHERE rank = 1"""
+
+
+OP3_SQL = _sql()
