@@ -3,6 +3,7 @@ checked broadcast, connected components, word hashing and sorted-group loops."""
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when its measured rows times its row width stay below this.
@@ -76,9 +77,22 @@ def row_key(*columns: Column) -> Column:
     return F.xxhash64(*columns, *(F.isnull(c) for c in columns))
 
 
-def buckets(rows: int, per_bucket: int = 20_000) -> int:
-    """Sub-buckets that keep each within per_bucket rows on average."""
-    return max(1, -(-rows // per_bucket))
+def buckets(rows: int) -> int:
+    """Sub-buckets of rows: as many as each then has rows, so that neither they nor their list is one task's burden."""
+    return max(1, math.isqrt(max(0, rows - 1)) + 1)
+
+
+def numbered(rows: DataFrame, equal: Column, name: str = "nth") -> DataFrame:
+    """Rows of a durable table numbered from 0 among those of one key, whichever of them gets which number.
+
+    The table has a column pid, the partition it was written by: a hot key is numbered
+    partition by partition and shifted by the partitions before, so no task sees all of it.
+    """
+    keyed = rows.withColumn("equal", equal)
+    starts = keyed.groupBy("equal", "pid").agg(F.count("*").alias("rows"))
+    starts = starts.select("equal", "pid", F.coalesce(F.sum("rows").over(Window.partitionBy("equal").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("equal", "pid").orderBy("pid")) - 1
+    return keyed.withColumn("inside", inside).join(starts, ["equal", "pid"]).withColumn(name, F.col("start") + F.col("inside")).drop("equal", "pid", "start", "inside")
 
 
 #: Places of the bitmap that keeps rows without a partner out of a shuffle, as 2^20 words of 64 bits: its size is fixed.

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from condensa.llm._kit import buckets, durable, mix64, row_key, sized_join
+from condensa.llm._kit import buckets, durable, mix64, numbered, row_key, sized_join
 
 WORDS = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 128
@@ -118,7 +118,7 @@ def _mixed_pieces(docs: DataFrame, share: float, cap: float, cycle, seed: int, k
     pieces: row, s, shard, slot, block, from (word of the document), words.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("th"), key.alias("key"))
+    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("th"), key.alias("key"), F.spark_partition_id().alias("pid"))
     rows = durable(rows, "mix-rows")
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -130,10 +130,11 @@ def _mixed_pieces(docs: DataFrame, share: float, cap: float, cycle, seed: int, k
     n_blocks = [-(-x // n) for x, n in zip(sizes, length, strict=True)]
     slots = [min(round(g / x * b), math.floor(cap * b)) if x else 0 for g, x, b in zip(goal, sizes, n_blocks, strict=True)]
     known = spark.createDataFrame([(i, r["source"], s, float(g), n, buckets(r["rows"])) for i, (r, s, g, n) in enumerate(zip(found, sizes, goal, length, strict=True))], "s int, src string, source_size long, target double, len int, parts int")
-    rows = rows.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("src"))).drop("src")
-    rows = rows.withColumn("place", F.xxhash64("doc_id", "th", F.lit(seed))).withColumn("part", F.floor((F.shiftrightunsigned("place", 11).cast("double") / float(1 << 53)) * F.col("parts")).cast("int"))
+    rows = numbered(rows, row_key(F.col("doc_id"), F.col("th"), F.col("source"), F.col("size"), F.col("key")))
+    rows = rows.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("src"))).drop("src")  # at most MAX_SOURCES rows
+    rows = rows.withColumn("place", F.xxhash64("doc_id", "th", "nth", F.lit(seed))).withColumn("part", F.floor((F.shiftrightunsigned("place", 11).cast("double") / float(1 << 53)) * F.col("parts")).cast("int"))
     starts = rows.groupBy("s", "part").agg(F.sum("size").alias("words")).withColumn("start", F.coalesce(F.sum("words").over(Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("words")
-    inside = F.sum("size").over(Window.partitionBy("s", "part").orderBy("place", "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.sum("size").over(Window.partitionBy("s", "part").orderBy("place", "doc_id", "size", "key", "nth").rowsBetween(Window.unboundedPreceding, -1))
     placed = rows.withColumn("inside", F.coalesce(inside, F.lit(0))).join(starts, ["s", "part"]).withColumn("at", F.col("start") + F.col("inside")).withColumn("row", F.monotonically_increasing_id())
     placed = durable(placed.select("row", "doc_id", "source", "size", "source_size", "target", "s", "len", "at", "key"), "mix-placed")
     step = 1 << 16

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from condensa.llm._kit import buckets, durable, free_name
+from condensa.llm._kit import buckets, durable, free_name, numbered, row_key
 
 #: Bits of a draw: 13 hexadecimal digits of an MD5 sum.
 DIGITS, STEPS = 13, float(1 << 52)
@@ -42,15 +42,17 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
 
 
 def shard_rows(df: DataFrame, key: str, weights: list[float], tie: list[str]) -> DataFrame:
-    """Add shard and slot; rows of a shard are ordered by a hash, then key (null last) and tie."""
-    placed = durable(df.withColumn("shard", rendezvous(F.col(key), weights)).withColumn("place", draw(F.lit("place"), F.col(key), *map(F.col, tie))), "shards")
+    """Add shard and slot; rows of a shard are ordered by a hash, which spreads equal rows as well, then key (null last) and tie."""
+    ties = [F.col(c) for c in tie]
+    placed = durable(df.withColumn("shard", rendezvous(F.col(key), weights)).withColumn("pid", F.spark_partition_id()), "shards")
     n = buckets(placed.count() // len(weights) + 1)
-    placed = placed.withColumn("part", F.floor(F.col("place") / F.lit(STEPS) * n).cast("int"))
+    placed = numbered(placed, row_key(F.col(key), *ties)).withColumn("place", draw(F.lit("place"), F.col(key), *ties, F.col("nth")))
+    placed = durable(placed.withColumn("part", F.floor(F.col("place") / F.lit(STEPS) * n).cast("int")), "shard-places")
     sizes = placed.groupBy("shard", "part").agg(F.count("*").alias("rows"))
     before = sizes.withColumn("start", F.sum("rows").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    inside = F.row_number().over(Window.partitionBy("shard", "part").orderBy("place", F.col(key).asc_nulls_last(), *tie)) - 1
+    inside = F.row_number().over(Window.partitionBy("shard", "part").orderBy("place", F.col(key).asc_nulls_last(), *tie, "nth")) - 1
     out = placed.withColumn("inside", inside).join(before.drop("rows"), ["shard", "part"])
-    return out.withColumn("slot", F.col("inside") + F.coalesce("start", F.lit(0))).drop("inside", "start", "part", "place")
+    return out.withColumn("slot", F.col("inside") + F.coalesce("start", F.lit(0))).drop("inside", "start", "part", "place", "nth")
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, weights: list[float] | None = None) -> DataFrame:
@@ -85,5 +87,6 @@ OP6_SQL = f"""
 WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
 d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8))) AS text_crc32 FROM documents, t),
 s AS (SELECT *, ({_sql_shard(16)})::INT AS shard, ({_sql_shard(17)})::INT AS grown_shard FROM d)
-SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY {_sql_draw("'place'", 'doc_id', 'text_crc32', 'size')}, doc_id NULLS LAST, text_crc32, size) - 1 AS slot, grown_shard FROM s
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY {_sql_draw("'place'", 'doc_id', 'text_crc32', 'size', 'nth')}, doc_id NULLS LAST, text_crc32, size, nth) - 1 AS slot, grown_shard
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, text_crc32, size) - 1 AS nth FROM s)
 """
