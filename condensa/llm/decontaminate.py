@@ -33,6 +33,8 @@ MASKS = ("11111111", "1101100111", "11010110011", "101101001101", "1110100101011
 #: A match needs this many aligned words (or the whole item), this percentage of them equal.
 LEAST_WORDS, LEAST_EQUAL = 13, 80
 SLICE_WORDS = 2_000_000
+#: Words of documents whose seeds are looked up together.
+TOGETHER_WORDS = 20_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -68,7 +70,7 @@ def best_stretch(same: np.ndarray, least: int, percent: int) -> tuple[int, int,
 
 
 class SeedIndex:
-    """Spaced-seed hashes of benchmark items, sorted for the join."""
+    """Spaced-seed hashes of benchmark items, sorted for the join, with a table that keeps most other hashes out."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
@@ -82,22 +84,32 @@ class SeedIndex:
         for off, parts in rows.items():
             x, n, p = (np.concatenate([r[i] for r in parts]) for i in range(3))
             order = np.argsort(x, kind="stable")
-            self.tables[off] = (x[order], n[order], p[order])
-
-    def match(self, h: np.ndarray, least: int, percent: int) -> dict[int, tuple[int, int, int]]:
-        """Item number -> (words, start in the document, equal words)."""
-        diagonals = set()
-        for off, (x, n, p) in self.tables.items():
-            mine = windows_hash(h, list(off), seed=len(off))
-            if not len(mine):
-                continue
-            lo = np.searchsorted(x, mine)
+            some = np.zeros(1 << max(10, (16 * len(x)).bit_length()), bool)  # by low bits: whether a hash may be there
+            some[x & np.uint64(len(some) - 1)] = True
+            self.tables[off] = (x[order], n[order], p[order], some)
+
+    def diagonals(self, texts: list[np.ndarray]) -> list[set[tuple[int, int]]]:
+        """(item number, shift) of every seed that a text shares with an item; texts are read together."""
+        flat = np.concatenate(texts)
+        size = np.array([len(h) for h in texts])
+        first, owner = np.cumsum(size) - size, np.repeat(np.arange(len(texts)), size)
+        out: list[set[tuple[int, int]]] = [set() for _ in texts]
+        for off, (x, n, p, some) in self.tables.items():
+            mine = windows_hash(flat, list(off), seed=len(off))
+            at = np.flatnonzero(some[mine & np.uint64(len(some) - 1)])
+            at = at[owner[at] == owner[at + off[-1]]]  # spans that leave their text are none
+            lo = np.searchsorted(x, mine[at])
             lo[lo == len(x)] = 0
-            for d in np.flatnonzero(x[lo] == mine):
-                k = lo[d]
-                while k < len(x) and x[k] == mine[d]:
-                    diagonals.add((int(n[k]), int(d - p[k])))
+            hit = x[lo] == mine[at]
+            for d, k in zip(at[hit].tolist(), lo[hit].tolist(), strict=True):
+                t, key = int(owner[d]), x[k]
+                while k < len(x) and x[k] == key:
+                    out[t].add((int(n[k]), d - int(first[t]) - int(p[k])))
                     k += 1
+        return out
+
+    def verified(self, h: np.ndarray, diagonals: set[tuple[int, int]], least: int, percent: int) -> dict[int, tuple[int, int, int]]:
+        """Item number -> (words, start in the text, equal words) of the best stretch on the given diagonals."""
         out: dict[int, tuple[int, int, int]] = {}
         for n, shift in sorted(diagonals):
             item = self.words[n]
@@ -107,6 +119,10 @@ class SeedIndex:
                 out[n] = (got[0], a + shift + got[1], got[2])
         return out
 
+    def match(self, texts: list[np.ndarray], least: int, percent: int) -> list[dict[int, tuple[int, int, int]]]:
+        """verified() of each text."""
+        return [self.verified(h, found, least, percent) for h, found in zip(texts, self.diagonals(texts), strict=True)]
+
 
 def _matches(sent, least: int, percent: int):
     @F.pandas_udf("array<struct<item_id:bigint,n_words:int,first_word:int,n_equal:int>>")
@@ -114,11 +130,21 @@ def _matches(sent, least: int, percent: int):
         slice_ = sent.value  # one object in a Python worker, so its tasks share the index
         if "index" not in slice_:
             slice_["index"] = SeedIndex(slice_["items"])
-        index, out = slice_["index"], []
+        index, out, held, words = slice_["index"], [], [], 0
+
+        def flush():
+            for found in index.match(held, least, percent):
+                out.append([{"item_id": index.ids[n], "n_words": length, "first_word": start, "n_equal": equal} for n, (length, start, equal) in found.items()] or None)
+            held.clear()
+
         for t in texts:
-            h = word_hashes(tokens(t))
-            found = index.match(h, least, percent) if len(h) else {}
-            out.append([{"item_id": index.ids[n], "n_words": length, "first_word": start, "n_equal": equal} for n, (length, start, equal) in found.items()] or None)
+            held.append(word_hashes(tokens(t)))
+            words += len(held[-1])
+            if words > TOGETHER_WORDS:
+                flush()
+                words = 0
+        if held:
+            flush()
         return pd.Series(out, dtype=object)
 
     return run
