@@ -2,6 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and
 returns the columns of documents; the last adds each document's shard.
+
+Defined results: rows are judged each for itself, by id and text, so null and repeated ids
+are no one's fault but their own; null and empty texts are neither toxic, near copies
+nor contaminated, and are never taken by the mix; of rows equal in id and text the second
+stage keeps one; ties between near copies go to the smallest id, null last; texts of any
+length are read whole; empty tables give an empty result with the same columns; columns
+beyond those of documents pass through whatever their names, and a column called shard
+makes the new one shard_.
 """
 
 from __future__ import annotations
