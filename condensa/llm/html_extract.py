@@ -223,16 +223,24 @@ def dom_distance(a: tuple, b: tuple) -> int:
 
 
 def ties(found: list[Block], strength: float) -> dict[tuple[int, int], float]:
-    """Smoothness edges: to the next block, weaker with their distance, and to the next one under the same parent."""
+    """Smoothness edges: to the next block, weaker by the square of their distance, and to the next one under the same parent.
+
+    Between blocks whose enclosing elements and marks differ, little of an edge is left.
+    """
     edges: dict[tuple[int, int], float] = {}
     last: dict[tuple, int] = {}
+
+    def tie(i: int, j: int, weight: float):
+        alike = not (found[i].mask ^ found[j].mask) & ~_OWN_BITS
+        edges[i, j] = edges.get((i, j), 0.0) + strength * weight * (1.0 if alike else CONTRAST)
+
     for i, b in enumerate(found):
         if i:
-            edges[i - 1, i] = 2 * strength / max(2, dom_distance(found[i - 1].path, b.path))
+            tie(i - 1, i, (2 / max(2, dom_distance(found[i - 1].path, b.path))) ** 2)
         parent = b.path[:-1]
         j = last.get(parent)
         if j is not None:
-            edges[j, i] = edges.get((j, i), 0.0) + strength
+            tie(j, i, 1.0)
         last[parent] = i
     return edges
 
@@ -331,6 +339,7 @@ def made_page(rng: random.Random) -> tuple[str, dict[str, bool]]:
     words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
     sentences = lambda a, b: " ".join(words(4, 16).capitalize() + rng.choice("...?!") for _ in range(rng.randint(a, b)))
     style = rng.choice(["semantic", "classes", "plain"])
+    para = rng.choice(["p", "p", "p", "div"])  # what the story's paragraphs are
 
     def block(tag: str, text: str, content: bool, link: float = 0.0, attrs: str = "") -> str:
         label[_SPACE.sub(" ", text).strip()] = content
@@ -363,18 +372,18 @@ def made_page(rng: random.Random) -> tuple[str, dict[str, bool]]:
     def story() -> str:
         out = []
         if rng.random() < 0.15:
-            return block("p", rng.choice([words(1, 5).capitalize() + ".", sentences(1, 2)]), True)
+            return block(para, rng.choice([words(1, 5).capitalize() + ".", sentences(1, 2)]), True)
         for _ in range(rng.randint(1, 9)):
             pick = rng.random()
             if pick < 0.60:
-                out.append(block("p", sentences(1, 5), True, rng.choice([0.0] * 4 + [0.2, 0.5])))
+                out.append(block(para, sentences(1, 5), True, rng.choice([0.0] * 4 + [0.2, 0.5])))
             elif pick < 0.72:
                 out.append(block(rng.choice(["h2", "h2", "h3", "h3", "h4", "h5", "h6"]), words(2, 6).capitalize(), True))
             elif pick < 0.80:
                 tag, item = rng.choice([("ul", "li"), ("ul", "li"), ("ol", "li"), ("dl", "dt"), ("dl", "dd")])
                 out.append(f"<{tag}>" + "".join(block(item, words(2, 9), True, rng.choice([0.0, 0.0, 0.3])) for _ in range(rng.randint(2, 4))) + f"</{tag}>")
             elif pick < 0.88:
-                out.append(rng.choice([block(rng.choice(["p", "p", "blockquote", "pre", "div"]), words(1, 4), True), "<figure>" + block("figcaption", words(2, 9), True) + "</figure>", "<address>" + block("p", words(2, 6), True) + "</address>"]))
+                out.append(rng.choice([block(rng.choice([para, para, "blockquote", "pre"]), words(1, 4), True), "<figure>" + block("figcaption", words(2, 9), True) + "</figure>", "<address>" + block("p", words(2, 6), True) + "</address>"]))
             elif pick < 0.93:
                 out.append(advert())
             elif pick < 0.96:
@@ -443,6 +452,8 @@ class Model:
 #: Generated pages of the fit, those that choose the strength, penalty of the weights, bound of the odds.
 FIT_PAGES, CHOICE_PAGES, PENALTY, ODDS = 300, 100, 1.0, 8.0
 STRENGTHS = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0)
+#: What is left of an edge between blocks of different frames.
+CONTRAST = 0.15
 
 
 def labelled_blocks(pages: list[tuple[str, dict[str, bool]]]) -> list[tuple[list[Block], np.ndarray]]:
