@@ -90,14 +90,20 @@ def parse_encoded(text: Column) -> Column:
     return F.when(is_encoded(text) & (F.octet_length(rest) >= 65), F.struct(F.substring(rest, 1, 64).alias("base_hash"), F.regexp_replace(tail, "^:", "").alias("diff_text")))
 
 
+def line_hashes(text: Column) -> Column:
+    """64-bit hashes of a text's distinct lines, trimmed, blank ones left out."""
+    return F.transform(line_set(text), lambda x: F.xxhash64(x))
+
+
 def similar_earlier(items: DataFrame, look_back: int = LOOK_BACK, least: float = LEAST_JACCARD) -> DataFrame:
-    """Pairs (session_id, seq, base_seq, jaccard) with one of the session's last items; items has session_id, seq, content.
+    """Pairs (session_id, seq, base_seq, jaccard) with one of the session's last items; items has session_id, seq, and content or its line_hashes as lines.
 
     Lines go by 64-bit hashes, so no text is shuffled.  Sequence numbers are dense within a
     session; it is cut into blocks of BLOCK items, and a block's last look_back items also
     stand in front of the next one, so no task sees a whole session and little is copied.
     """
-    rows = items.select("session_id", "seq", F.transform(line_set(F.col("content")), lambda x: F.xxhash64(x)).alias("ls"))
+    lines = F.col("lines") if "lines" in items.columns else line_hashes(F.col("content"))
+    rows = items.select("session_id", "seq", lines.alias("ls"))
     block = F.floor(F.col("seq") / BLOCK)
     ahead = F.floor((F.col("seq") + look_back) / BLOCK)
     rows = rows.withColumn("block", F.explode(F.array_distinct(F.array(block, ahead)))).withColumn("own", F.col("block") == block)

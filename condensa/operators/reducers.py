@@ -200,18 +200,22 @@ def dump(value, pretty: bool = True) -> str:
 
 
 def _indented(value, line: str) -> str:
-    if isinstance(value, str):
+    kind = type(value)
+    if kind is str:
         return encode_basestring(value)
-    if not value or not isinstance(value, dict | list):
+    if kind is int:
+        return repr(value)
+    if not value or kind not in (dict, list):
         return json.dumps(value)
     inner = line + "  "
-    if isinstance(value, dict):
+    if kind is dict:
         return "{" + inner + ("," + inner).join([f"{encode_basestring(k)}: {_indented(value[k], inner)}" for k in sorted(value)]) + line + "}"
     return "[" + inner + ("," + inner).join([_indented(v, inner) for v in value]) + line + "]"
 
 
 def sample_json(value, depth: int, level: str):
-    if isinstance(value, list):
+    kind = type(value)
+    if kind is list:
         n, most = len(value), LIMITS["json_items"][level]
         if n > most:
             head = max(most // 2, 1)
@@ -219,7 +223,7 @@ def sample_json(value, depth: int, level: str):
             inner = [sample_json(v, depth + 1, level) for v in (*value[:head], *value[n - most + head :])]
             return [*inner[:head], marker, *inner[head:]]
         return [sample_json(v, depth + 1, level) for v in value]
-    if isinstance(value, dict):
+    if kind is dict:
         keys = sorted(value)
         if depth >= LIMITS["json_depth"][level]:
             names = ", ".join(keys[:5])

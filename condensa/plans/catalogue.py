@@ -188,12 +188,10 @@ _SET = "list_distinct(list_filter(list_transform(string_split(text, chr(10)), la
  SELECT a.session_id, a.seq, b.seq AS base_seq, len(list_intersect(a.ls, b.ls))::DOUBLE / len(list_distinct(list_concat(a.ls, b.ls))) AS jaccard
  FROM s a JOIN s b ON a.session_id = b.session_id AND b.seq BETWEEN a.seq - 20 AND a.seq - 1 WHERE len(list_intersect(a.ls, b.ls))::DOUBLE / len(list_distinct(list_concat(a.ls, b.ls))) >= 0.6""")
 def similar_recent(spark, d):
-    return diffs.similar_earlier(items(spark, d))
-
-
-def items(spark, d):
-    seq = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("bigint")
-    return docs(spark, d).select(F.col("source").alias("session_id"), seq.alias("seq"), F.col("text").alias("content"))
+    # the texts are hashed before they are numbered, so that no window carries them
+    rows = spread(docs(spark, d).select("doc_id", "source", "text")).select("doc_id", F.col("source").alias("session_id"), diffs.line_hashes(F.col("text")).alias("lines"))
+    seq = F.row_number().over(Window.partitionBy("session_id").orderBy("doc_id")).cast("bigint")
+    return diffs.similar_earlier(rows.select("session_id", seq.alias("seq"), "lines"))
 
 
 def events(spark, d):
