@@ -325,9 +325,21 @@ def fold_decisions(n: Column, level: str) -> Column:
 _STRINGS = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n])'|`(?:\\.|[^`\\])*`", re.S)
 _HEADERS = {
     "rust": re.compile(r"(?:\bpub(?:\([^)]*\))?\s+)?(?:\b(?:const|async|unsafe|extern\s+\"[^\"]*\")\s+)*\bfn\s+\w+"),
-    "javascript": re.compile(r"\b(?:async\s+)?function\s*\*?\s*\w+"),
-    "typescript": re.compile(r"\b(?:async\s+)?function\s*\*?\s*\w+"),
+    "javascript": re.compile(r"(?<![\w$.])(?:async\s+)?function\s+[\w$]+"),
+    "typescript": re.compile(r"(?<![\w$.])(?:async\s+)?function\s+[\w$]+"),
 }
+#: What stands before a function that is an expression, not a declaration.
+_EXPRESSION = re.compile(r"(?:[=(,:?\[!&|+\-~<>%/*]|\b(?:return|typeof|new|void|yield|await|in|of|case|delete|throw))\s*\Z")
+
+
+def _matching(plain: str, at: int) -> int:
+    """The place behind the brace that closes the one at a place, or the text's end."""
+    depth = 0
+    for m in re.compile(r"[{}]").finditer(plain, at):
+        depth += 1 if m.group() == "{" else -1
+        if not depth:
+            return m.end()
+    return len(plain)
 
 
 def function_bodies(text: str, language: str) -> list[tuple[int, int]]:
@@ -359,18 +371,19 @@ def function_bodies(text: str, language: str) -> list[tuple[int, int]]:
     at = 0
     while m := head.search(plain, at):
         at, depth = m.end(), 0
+        if language != "rust" and _EXPRESSION.search(plain, max(0, m.start() - 200), m.start()):
+            continue
         while at < len(plain) and (depth or plain[at] not in "{;"):
             depth += (plain[at] in "([") - (plain[at] in ")]")
             at += 1
+            # braces of a type are no body
+            if language == "typescript" and not depth and plain[at : at + 1] == "{" and plain[m.end() : at].rstrip()[-1:] in (":", "|", "&", "<", ","):
+                at = _matching(plain, at)
         if at >= len(plain) or plain[at] == ";":
             continue
-        start, depth = at, 0
-        while at < len(plain):
-            depth += (plain[at] == "{") - (plain[at] == "}")
-            at += 1
-            if not depth:
-                out.append((start, at))
-                break
+        start, at = at, _matching(plain, at)
+        if plain[at - 1] == "}":
+            out.append((start, at))
     return out
 
 

@@ -68,6 +68,22 @@ def test_code():
     assert R.reduce_code(go, "go", "aggressive") == "func a() { /* ... 31 lines */ }"
 
 
+def test_function_bodies():
+    """Declarations only, methods of Rust and Python too; types, strings and nested functions are no bodies of their own."""
+    body = "{\n" + "  a();\n" * 12 + "}"
+    folded = "{ /* ... 14 lines */ }"
+    fold = lambda text, language: R.reduce_code(text, language, "aggressive")
+    assert fold(f"export default async function f(a = {{}}) {body}", "javascript") == f"export default async function f(a = {{}}) {folded}"
+    for kept in (f"const f = function g() {body}", f"const f = () => {body}", f"class A {{ m() {body} }}", f"function* g() {body}", f"call(function g() {body})", f"return function g() {body}"):
+        assert R.fold_functions(kept, "javascript", "aggressive") is None, kept
+    assert fold(f"const h = () => {{ function f() {body} }}", "javascript") == f"const h = () => {{ function f() {folded} }}"
+    assert fold(f"function f(x: number): {{ a: number }} | {{ b: string }} {body}", "typescript") == f"function f(x: number): {{ a: number }} | {{ b: string }} {folded}"
+    assert fold(f"function f(x: string): void;\nfunction f(x: any): Promise<void> {body}", "typescript") == f"function f(x: string): void;\nfunction f(x: any): Promise<void> {folded}"
+    assert fold(f"impl A {{\n  pub(crate) async fn f<'a>(&'a self) -> Vec<u8> where T: Copy {body}\n}}", "rust") == f"impl A {{\n  pub(crate) async fn f<'a>(&'a self) -> Vec<u8> where T: Copy {folded}\n}}"
+    assert R.function_bodies("trait T { fn f(&self); }\nlet g: fn(i32) = h;", "rust") == []
+    assert fold('fn f() {\n  let s = "}}}";\n  // }\n' + "  fn g() {}\n" * 9 + "}", "rust") == "fn f() { /* ... 13 lines */ }"
+
+
 @given(st.text(alphabet="ab\n", max_size=60), st.text(alphabet="ab\n", max_size=60))
 def test_patches_round_trip(a, b):
     assert diffs.apply_patch(a, diffs.make_patch(a, b)) == b
