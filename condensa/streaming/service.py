@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from condensa import __version__
-from condensa.functions.levels import BUDGET_TOTAL, LEVELS
+from condensa.functions.levels import BUDGET_TOTAL, LEVELS, service_level, service_type
 from condensa.functions.text import saved_ratio
 from condensa.operators.analytics import session_totals
 from condensa.operators.budget import category_limit, pressure_step
@@ -100,6 +100,17 @@ def quoted(text: Column) -> Column:
     return F.substring(framed, 6, F.length(framed) - 6)
 
 
+def service_types() -> Column:
+    """Map of the type names that calls may give; convers is an older short form."""
+    names = {n: service_type(n) for n in ("code", "output", "conversation", "json", "mcp")} | {"convers": service_type("conversation")}
+    return F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+
+
+def service_levels() -> Column:
+    """Map of the level names that calls may give."""
+    return F.create_map(*(F.lit(x) for v in LEVELS for x in (v, service_level(v))))
+
+
 STORE = "id long, session_id string, content_type string, original_hash string, original string, compressed string, original_tokens long, compressed_tokens long"
 
 
@@ -115,8 +126,8 @@ def answer_requests(requests: DataFrame, store: DataFrame | None = None) -> Data
     r = lines.select(parsed(F.col("value")).alias("r")).select("r.*").where("state <> 'silent'")
     called = lambda name: (F.col("method") == "tools/call") & (F.col("tool") == name)
     # compress: a text that no call asks for stays null and is not read
-    level = F.when(F.col("level").isin(*LEVELS), F.col("level")).otherwise("medium")
-    kind = F.when(F.col("type") == "code", "code:rust").when(F.col("type").isin("conversation", "convers"), "conversation").when(F.col("type") == "json", "json").when(F.col("type") == "mcp", "mcp_schema").when(F.col("type") == "output", "command_output").when(F.col("type").isNotNull(), "unknown")
+    level = F.coalesce(service_levels()[F.col("level")], F.lit("medium"))
+    kind = F.when(F.col("type").isNotNull(), F.coalesce(service_types()[F.col("type")], F.lit("unknown")))
     r = measure(r.withColumn("level", level).withColumn("type_hint", kind).withColumn("content", F.when(called("compress"), F.col("content"))))
     squeezed = F.to_json(F.struct("compressed", "compressed_tokens", "content_type", F.col("original_hash").alias("hash"), "original_tokens", F.format_string("%.1f%%", F.col("ratio") * 100).alias("ratio")))
     r = r.withColumn("squeezed", F.when(F.col("content").isNotNull(), squeezed)).select("state", "id", "method", "tool", "hash", "level", "squeezed", F.coalesce("session_id", F.lit("current")).alias("session_id"))
