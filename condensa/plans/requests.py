@@ -236,7 +236,7 @@ _COUNTED = [("hello world", 2), ("", 0), (None, 0), ("The quick brown fox jumps
 
 if os.path.exists(VOCABULARY):
 
-    @query(values(_COUNTED, "content, tokens"))
+    @query("SELECT content, tokens::BIGINT AS tokens FROM (" + values(_COUNTED, "content, tokens") + ")")
     def exact_tokens(spark, d):
         """Byte-pair token counts by a given vocabulary."""
         rows = spark.createDataFrame([r[:1] for r in _COUNTED], "content string")
