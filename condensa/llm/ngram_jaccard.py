@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from condensa.llm._kit import components, durable, held_join, local_roots, may_be_in, row_key, sized_join, sorted_groups, windows_hash, without, word_hashes
+from condensa.llm._kit import components, durable, forget, held_join, local_roots, may_be_in, row_key, sized_join, sorted_groups, windows_hash, without, word_hashes
 
 #: Members of a token group or cell that one task compares at once, and shingles that they hold.
 BLOCK, BLOCK_SHINGLES = 8192, 8_000_000
@@ -480,6 +480,7 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     grouped = want.select(F.xxhash64("cell").alias("t"), "parts", "k", "n")
     exact = group_links(grouped, "k", lambda df: df.join(texts, "k"), _cell_edges(width, percent), _far_cell_edges(width, percent), "string")
     links = components(exact)
+    forget(kept, want, texts)  # what follows reads the rows, their representatives and the links
     ids = reps.select("k", "doc_id").join(links.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     low = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = ids.join(low, "root").select("k", "component_id")
