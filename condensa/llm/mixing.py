@@ -87,30 +87,23 @@ def permuted(j: np.ndarray, n: int, seed: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def _slot_rows(plan: dict[int, tuple[int, int]], seed: int, step: int):
+def _slot_rows(sent, seed: int, step: int):
+    """The slots of chunks (id): source, block that the permutation gives, slot, and the shard whose draw the slot is part of."""
+
     def run(batches):
+        chunks, slots, blocks, ends = sent.value
         for pdf in batches:
-            for s, first, shards, ends in zip(pdf["s"], pdf["first"], pdf["shards"], pdf["ends"], strict=True):
-                n_slots, n_blocks = plan[int(s)]
-                j = np.arange(first, min(first + step, n_slots))
-                turn = j // n_blocks
-                index = np.concatenate([permuted(j[turn == t] % n_blocks, n_blocks, seed + 7919 * int(s) + 104_729 * int(t)) for t in np.unique(turn)]) if len(j) else j
-                yield pd.DataFrame({"s": s, "block": index, "slot": j, "shard": np.asarray(shards)[np.searchsorted(np.asarray(ends), j, side="right")]})
+            for c in pdf["id"].to_numpy():
+                s = int(np.searchsorted(chunks, c, side="right")) - 1
+                first, n = int(c - chunks[s]) * step, int(blocks[s])
+                j = np.arange(first, min(first + step, int(slots[s])))
+                turn = j // n
+                index = np.concatenate([permuted(j[turn == t] % n, n, seed + 7919 * s + 104_729 * int(t)) for t in np.unique(turn)])
+                yield pd.DataFrame({"s": s, "block": index, "slot": j, "shard": np.searchsorted(ends[:, s], j, side="right")})
 
     return run
 
 
-def slot_chunks(counts: np.ndarray, slots: list[int], step: int) -> list[tuple[int, int, list[int], list[int]]]:
-    """(source, first slot, shards, ends): the shards that a chunk's slots go to, and the slot where each one's share ends."""
-    out = []
-    for s, n in enumerate(slots):
-        ends = counts[:, s].cumsum()
-        for c in range(0, n, step):
-            m = np.flatnonzero((counts[:, s] > 0) & (ends > c) & (ends - counts[:, s] < c + step))
-            out.append((s, c, m.tolist(), ends[m].tolist()))
-    return out
-
-
 def _mixed_pieces(docs: DataFrame, share: float, cap: float, cycle, seed: int, key: Column) -> tuple[DataFrame, DataFrame]:
     """(rows, pieces): each document's place in its source, and the part of it in every slot that takes it.
 
@@ -138,10 +131,12 @@ def _mixed_pieces(docs: DataFrame, share: float, cap: float, cycle, seed: int, k
     placed = rows.withColumn("inside", F.coalesce(inside, F.lit(0))).join(starts, ["s", "part"]).withColumn("at", F.col("start") + F.col("inside")).withColumn("row", F.monotonically_increasing_id())
     placed = durable(placed.select("row", "doc_id", "source", "size", "source_size", "target", "s", "len", "at", "key"), "mix-placed")
     step = 1 << 16
-    chunks = slot_chunks(draw_counts(slots, SHARDS, seed), slots, step)
-    plan = {i: (slots[i], n_blocks[i]) for i in range(len(found))}
-    todo = spark.createDataFrame(chunks or [(-1, 0, [], [])], "s int, first long, shards array<int>, ends array<long>").where("s >= 0")
-    slot_rows = todo.repartition(max(1, min(len(chunks), 4096))).mapInPandas(_slot_rows(plan, seed, step), "s int, block long, slot long, shard int")
+    n_chunks = [-(-n // step) for n in slots]
+    # a shard's slots of a source end where its draws and those of the shards before add up to
+    ends = draw_counts(slots, SHARDS, seed).cumsum(axis=0)
+    sent = spark.sparkContext.broadcast((np.cumsum([0, *n_chunks[:-1]]) if n_chunks else np.zeros(0), np.array(slots), np.array(n_blocks), ends))
+    total = sum(n_chunks)
+    slot_rows = spark.range(0, total, 1, max(1, min(total, 4096))).mapInPandas(_slot_rows(sent, seed, step), "s int, block long, slot long, shard int")
     first, last = F.floor(F.col("at") / F.col("len")), F.floor((F.col("at") + F.col("size") - 1) / F.col("len"))
     pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.col("at"), F.col("block") * F.col("len"))

@@ -113,8 +113,6 @@ def test_mixed_blocks(spark, docs, nothing):
         assert sorted(b["slot"] for b in blocks if b["source"] == s) == list(range(len(got)))
     assert len({b["shard"] for b in blocks}) > 200 and mixing.mixed_blocks(nothing).count() == 0
     assert sum(b["n_words"] for b in mixing.mixed_blocks(docs).collect()) == sum(r["taken"] for r in mixing.mix(docs).collect())
-    chunks = mixing.slot_chunks(np.array([[0, 3], [5, 0], [2, 1]]), [7, 4], 4)
-    assert chunks == [(0, 0, [1], [5]), (0, 4, [1, 2], [5, 7]), (1, 0, [0, 2], [3, 4])]
 
 
 def test_mixed_documents_long(spark):
