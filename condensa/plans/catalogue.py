@@ -117,26 +117,6 @@ def reduce_logs_aggressive(spark, d):
     return logs(spark, d).select("user_id", reducers.reduced(F.col("content"), F.lit("command_output"), F.lit("aggressive")).alias("reduced"))
 
 
-_TESTS = "SELECT user_id, string_agg('test m::e' || event_id || CASE WHEN event_id % 7 = 0 THEN ' ... ignored' ELSE ' ... ok' END, chr(10) ORDER BY event_id) AS content, count(*) AS n, count(*) FILTER (event_id % 7 = 0) AS skipped FROM events GROUP BY user_id"
-
-
-@query(f"SELECT user_id, '[Test Summary] ' || (n - skipped) || ' passed, 0 failed, ' || skipped || ' skipped (' || n || ' total)' AS reduced FROM ({_TESTS}) WHERE n >= 5")
-def test_log_summary(spark, d):
-    line = F.concat(F.lit("test m::e"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 7 == 0, " ... ignored").otherwise(" ... ok"))
-    rows = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("x")).where("n >= 5")
-    return rows.select("user_id", reducers.reduced(F.array_join(F.transform("x", lambda e: e["line"]), "\n"), F.lit("command_output"), F.lit("medium")).alias("reduced"))
-
-
-@query("""WITH e AS (SELECT l_orderkey, l_linenumber, 'error[E' || l_linenumber || ']: bad ' || l_returnflag AS line FROM lineitem),
- g AS (SELECT l_orderkey, count(*) AS n, list_sort(list_distinct(list(line))) AS rows FROM e GROUP BY 1)
- SELECT l_orderkey, '[Compiler Summary] ' || n || ' errors, 0 warnings' || chr(10) || chr(10) || 'Errors:' || chr(10) || array_to_string(list_transform(rows[1:5], lambda x: '  ' || x), chr(10))
-  || CASE WHEN n > len(rows[1:5]) THEN chr(10) || '  [... ' || (n - len(rows[1:5])) || ' more errors]' ELSE '' END AS reduced FROM g WHERE n >= 3""")
-def compiler_log_summary(spark, d):
-    line = F.concat(F.lit("error[E"), F.col("l_linenumber").cast("string"), F.lit("]: bad "), "l_returnflag")
-    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("line")))).alias("x")).where("n >= 3")
-    return rows.select("l_orderkey", reducers.reduced(F.array_join(F.transform("x", lambda e: e["line"]), "\n"), F.lit("command_output"), F.lit("aggressive")).alias("reduced"))
-
-
 _NEWLINES = "replace(text, chr(10), ' ')"
 _TURNS = f"SELECT conv_id, turn, role, CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' END AS name, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations"
 

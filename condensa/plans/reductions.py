@@ -197,6 +197,29 @@ def reduce_logs(spark, d):
     return rows.select("user_id", reducers.reduced_levels(F.array_join(F.transform("x", lambda e: e["line"]), "\n"), "command_output").alias("r")).select("user_id", "r.*")
 
 
+_TESTS = f"SELECT user_id, string_agg('test m::e' || event_id || CASE WHEN event_id % 7 = 0 THEN ' ... ignored' ELSE ' ... ok' END, {NL} ORDER BY event_id) AS content, count(*) AS n, count(*) FILTER (event_id % 7 = 0) AS skipped FROM events GROUP BY user_id"
+
+
+@query(f"""WITH RECURSIVE logs AS ({_TESTS}), {sql_reduced_output('logs', 'user_id', 'content', 'medium')}
+ SELECT user_id, CASE WHEN n < 5 THEN reduced ELSE '[Test Summary] ' || (n - skipped) || ' passed, 0 failed, ' || skipped || ' skipped (' || n || ' total)' END AS reduced FROM logs JOIN reduced_medium USING (user_id)""")
+def test_log_summary(spark, d):
+    """Test logs of every length: summed up from five lines on."""
+    line = F.concat(F.lit("test m::e"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 7 == 0, " ... ignored").otherwise(" ... ok"))
+    rows = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("x"))
+    return rows.select("user_id", reducers.reduced(F.array_join(F.transform("x", lambda e: e["line"]), "\n"), F.lit("command_output"), F.lit("medium")).alias("reduced"))
+
+
+@query(f"""WITH RECURSIVE logs AS (SELECT l_orderkey, string_agg('error[E' || l_linenumber || ']: bad ' || l_returnflag, {NL} ORDER BY l_linenumber, l_returnflag) AS content, count(*) AS n,
+  list_sort(list_distinct(list('error[E' || l_linenumber || ']: bad ' || l_returnflag))) AS rows FROM lineitem GROUP BY 1), {sql_reduced_output('logs', 'l_orderkey', 'content', 'aggressive')}
+ SELECT l_orderkey, CASE WHEN n < 3 THEN reduced ELSE '[Compiler Summary] ' || n || ' errors, 0 warnings' || {NL} || {NL} || 'Errors:' || {NL} || array_to_string(list_transform(logs.rows[1:5], lambda x: '  ' || x), {NL})
+  || CASE WHEN n > len(logs.rows[1:5]) THEN {NL} || '  [... ' || (n - len(logs.rows[1:5])) || ' more errors]' ELSE '' END END AS reduced FROM logs JOIN reduced_aggressive USING (l_orderkey)""")
+def compiler_log_summary(spark, d):
+    """Compiler logs of every length: summed up from three errors on."""
+    line = F.concat(F.lit("error[E"), F.col("l_linenumber").cast("string"), F.lit("]: bad "), "l_returnflag")
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("line")))).alias("x"))
+    return rows.select("l_orderkey", reducers.reduced(F.array_join(F.transform("x", lambda e: e["line"]), "\n"), F.lit("command_output"), F.lit("aggressive")).alias("reduced"))
+
+
 _FAILED = "event_id % 5 = 0"
 _RESULT = "'test result: FAILED. ' || count(*) || ' run; finished'"
 _CASES = f"""SELECT user_id, string_agg('test m::e' || event_id || CASE WHEN {_FAILED} THEN ' ... FAILED' || {NL} || 'boom in ' || event_type || {NL} WHEN event_id % 7 = 0 THEN ' ... skipped' ELSE ' ... ok' END, {NL} ORDER BY event_id) AS content,

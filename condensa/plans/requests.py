@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from condensa.functions import levels as L
@@ -17,7 +17,7 @@ from condensa.operators import budget as B
 from condensa.operators import samples
 from condensa.plans.catalogue import _CAT, _EV, _LIMIT, events
 from condensa.plans.reductions import NL, sql_lines, sql_reduced_output
-from condensa.plans.registry import docs, query, table, values
+from condensa.plans.registry import query, table, values
 from condensa.sources import store as S
 from condensa.streaming import service
 
