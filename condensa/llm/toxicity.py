@@ -24,7 +24,6 @@ however long; extra columns are not read, whatever their names.  Ids stay in the
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
