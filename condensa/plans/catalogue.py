@@ -42,7 +42,10 @@ _LANG = """CASE WHEN contains(text, 'fn main()') OR contains(text, 'pub fn ') OR
  WHEN contains(text, 'interface ') AND contains(text, ': ') AND contains(text, 'export ') THEN 'typescript'
  WHEN contains(text, 'function ') OR contains(text, 'const ') OR contains(text, '=> {') THEN 'javascript'
  WHEN contains(text, 'public class ') OR contains(text, 'public static void main') THEN 'java' END"""
-_TYPE = f"""CASE WHEN strlen(trim(text)) < 10 THEN 'unknown'
+_TOOL = "json_exists({x}, '$.name') AND json_exists({x}, '$.input_schema')"
+_JSON = f"""CASE WHEN left(ltrim(text, ' ' || chr(9) || chr(10) || chr(13)), 1) IN ('{{', '[') AND json_valid(text) THEN
+ CASE WHEN json_type(text) = 'OBJECT' AND {_TOOL.format(x='text')} OR json_type(text) = 'ARRAY' AND len(list_filter(json_extract(text, '$[*]'), lambda x: {_TOOL.format(x='x')})) > 0 THEN 'mcp_schema' ELSE 'json' END END"""
+_TYPE = f"""CASE WHEN strlen(trim(text)) < 10 THEN 'unknown' WHEN ({_JSON}) IS NOT NULL THEN ({_JSON})
  WHEN contains(text, chr(27) || '[') OR len(list_filter({_FIRST5}, lambda l: {_CMD})) > 0 THEN 'command_output'
  WHEN {_LANG} IS NOT NULL THEN 'code:' || ({_LANG})
  WHEN len(list_filter(string_split(text, chr(10))[1:20], lambda l: {_ROLE})) >= 2 THEN 'conversation' ELSE 'unknown' END"""
@@ -117,15 +120,22 @@ def reduce_logs_aggressive(spark, d):
     return logs(spark, d).select("user_id", reducers.reduced(F.col("content"), F.lit("command_output"), F.lit("aggressive")).alias("reduced"))
 
 
-_NEWLINES = "replace(text, chr(10), ' ')"
-_TURNS = f"SELECT conv_id, turn, role, CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' END AS name, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations"
+_TURNS = "SELECT conv_id, turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations"
 
 
-@query(f"""SELECT conv_id, turn, (i::DOUBLE / n) * 0.3
- + CASE WHEN contains(text, '.rs') OR contains(text, '.ts') OR contains(text, '.py') OR contains(text, '.js') OR contains(text, '/src/') THEN 0.15 ELSE 0.0 END
- + CASE WHEN contains(text, 'error') OR contains(text, 'Error') OR contains(text, 'failed') OR contains(text, 'FAILED') OR contains(text, 'panic') THEN 0.25 ELSE 0.0 END AS score FROM ({_TURNS})""")
+def _signal(weight: float, *marks: str) -> str:
+    return "CASE WHEN " + " OR ".join("contains(text, '" + m.replace("'", "''") + "')" for m in marks) + f" THEN {weight}::DOUBLE ELSE 0.0 END"
+
+
+_SIGNALS = " + ".join([
+    _signal(0.3, "```"), _signal(0.15, ".rs", ".ts", ".py", ".js", "/src/", "\\src\\"),
+    _signal(0.2, "I'll ", "Let's ", "We should", "The fix is", "I've decided", "Going with"), _signal(0.25, "error", "Error", "failed", "FAILED", "panic"),
+])
+
+
+@query(f"SELECT conv_id, turn, least(1.0::DOUBLE, (i::DOUBLE / n) * 0.3 + {_SIGNALS}) AS score FROM ({_TURNS})")
 def turn_scores(spark, d):
-    """All signals of a turn's score (the SQL has recency, paths and errors: the data hold no other signals)."""
+    """All signals of a turn's score."""
     w = Window.partitionBy("conv_id")
     rows = table(spark, d, "conversations").withColumn("i", F.row_number().over(w.orderBy("turn", "text")) - 1).withColumn("n", F.count("*").over(w))
     score = reducers.scored_turn(F.col("text"), F.col("i"), F.col("n"))
