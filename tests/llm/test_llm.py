@@ -369,6 +369,28 @@ def test_durable(spark):
     assert not os.path.exists(path)
 
 
+def test_numbered(spark):
+    """Equal rows get the numbers from 0 on, whatever partitions they lie in; sub-buckets grow with the root."""
+    rows = spark.range(900).repartition(7).selectExpr("id % 5 AS a", "CASE WHEN id % 5 = 0 THEN NULL ELSE 'x' END AS b")
+    rows = _kit.durable(rows.unionByName(spark.createDataFrame([(9, "y")], "a long, b string")).withColumn("pid", F.spark_partition_id()), "test")
+    got = _kit.numbered(rows, _kit.row_key(F.col("a"), F.col("b")))
+    assert got.columns == ["a", "b", "nth"]
+    seen: dict = {}
+    for r in got.collect():
+        seen.setdefault((r["a"], r["b"]), []).append(r["nth"])
+    assert {k: sorted(v) == list(range(len(v))) for k, v in seen.items()} == dict.fromkeys(seen, True) and sum(map(len, seen.values())) == 901
+    assert [_kit.buckets(n) for n in (0, 1, 2, 100, 10_000, 10**12)] == [1, 1, 2, 10, 100, 10**6]
+
+
+def test_equal_rows_agree(spark):
+    """Rows equal in all they have are spread, and reruns over other partitions give the same rows."""
+    rows = [(None, "one two three four", "s")] * 300 + [(i, f"text number {i} of some words", "t") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for run in (mixing.mix, sharding.shard_documents):
+        first, other = (sorted(map(str, run(df.repartition(n)).collect())) for n in (1, 9))
+        assert first == other and len(first) == 350
+
+
 def test_best_stretch():
     rng = np.random.default_rng(5)
     for _ in range(300):
