@@ -24,7 +24,7 @@ import functools
 import html as htmllib
 import random
 import re
-from collections import deque
+from collections import Counter, deque
 
 import numpy as np
 import pandas as pd
@@ -74,11 +74,20 @@ _BAD = sum(_BIT[f".{g}"] for g in MARKS if g != "content")
 NUMBERS = ("one", "length", "long", "short", "link", "linked", "sentences", "ended", "outside", "outside-h1")
 
 
+class Place:
+    """A block element: its parent and its depth."""
+
+    __slots__ = ("parent", "depth")
+
+    def __init__(self, parent: Place | None):
+        self.parent, self.depth = parent, parent.depth + 1 if parent else 0
+
+
 class Block:
-    __slots__ = ("parts", "text", "linked", "mask", "path")
+    __slots__ = ("parts", "text", "linked", "mask", "place")
 
-    def __init__(self, mask: int, path: tuple):
-        self.parts, self.text, self.linked, self.mask, self.path = [], "", 0, mask, path
+    def __init__(self, mask: int, place: Place):
+        self.parts, self.text, self.linked, self.mask, self.place = [], "", 0, mask, place
 
 
 def _attributes(raw: str) -> tuple[int, bool]:
@@ -102,13 +111,18 @@ def _attributes(raw: str) -> tuple[int, bool]:
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in page order."""
     out: list[Block] = []
-    # open elements: name, feature bits, path of block elements, skipped, inside a link
-    stack: list[tuple] = [("", 0, (), False, False)]
-    n_elements, at, cur = 0, 0, None
+    # open elements: name, feature bits, innermost block element, skipped, inside a link
+    stack: list[tuple] = [("", 0, Place(None), False, False)]
+    is_open: Counter = Counter()
+    at, cur = 0, None
+
+    def close(i: int):
+        is_open.subtract(x[0] for x in stack[i:])
+        del stack[i:]
 
     def end_head():
         while stack[-1][0] == "head":
-            stack.pop()
+            close(len(stack) - 1)
 
     def text(piece: str):
         nonlocal cur
@@ -143,9 +157,9 @@ def blocks_of(page: str) -> list[Block]:
                 end_head()
             if name not in INLINE:
                 cur = None
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if is_open[name] else ():
                 if stack[i][0] == name:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in ("article", "main", "body", "nav", "aside", "footer", "table") and name in INLINE | {"p", "li"}:
                     break
@@ -163,21 +177,22 @@ def blocks_of(page: str) -> list[Block]:
         if name not in INLINE:
             cur = None
             # an unclosed paragraph or item ends where the next block begins
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p" or (name == stack[i][0] and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                    del stack[i:]
+            ends = {"p", name} if name in ("li", "dt", "dd", "tr", "td", "th", "option") else {"p"}
+            for i in range(len(stack) - 1, 0, -1) if any(is_open[x] for x in ends) else ():
+                if stack[i][0] in ends:
+                    close(i)
                     break
                 if stack[i][0] not in INLINE:
                     break
         top = stack[-1]
         marks, hidden = _attributes(m.group(3)) if m.group(3).strip(" /") else (0, False)
-        n_elements += 1
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
         if (name in INLINE or name in SKIPPED) and m.group(0).endswith("/>"):
             continue  # any other element stays open, as in browsers
+        is_open[name] += 1
         if name in INLINE:
             stack.append((name, top[1] | marks, top[2], top[3] or hidden, top[4] or name == "a"))
             continue
@@ -188,7 +203,7 @@ def blocks_of(page: str) -> list[Block]:
         elif name in _BIT:
             bits |= _BIT[name]
         bits |= _BIT.get(f"={name}", 0)
-        stack.append((name, bits, (*top[2], n_elements), top[3] or hidden or name in SKIPPED, top[4]))
+        stack.append((name, bits, Place(top[2]), top[3] or hidden or name in SKIPPED, top[4]))
     for b in out:
         b.text = _SPACE.sub(" ", "".join(b.parts)).strip()
     return [b for b in out if b.text]
@@ -212,14 +227,20 @@ def bit_rows(masks: list[int]) -> np.ndarray:
     return np.array([[m >> i & 1 for i in range(len(BITS))] for m in masks], float).reshape(len(masks), len(BITS))
 
 
-def dom_distance(a: tuple, b: tuple) -> int:
-    """Elements between two blocks of the given paths."""
-    same = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        same += 1
-    return len(a) + len(b) - 2 * same
+#: Elements between two blocks beyond which they are as far as can be.
+FAR = 32
+
+
+def dom_distance(a: Place, b: Place) -> int:
+    """Elements between two blocks, FAR at most."""
+    steps = 0
+    while a is not b and steps < FAR:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+    return steps
 
 
 def ties(found: list[Block], strength: float) -> dict[tuple[int, int], float]:
@@ -228,7 +249,7 @@ def ties(found: list[Block], strength: float) -> dict[tuple[int, int], float]:
     Between blocks whose enclosing elements and marks differ, little of an edge is left.
     """
     edges: dict[tuple[int, int], float] = {}
-    last: dict[tuple, int] = {}
+    last: dict[int, int] = {}
 
     def tie(i: int, j: int, weight: float):
         alike = not (found[i].mask ^ found[j].mask) & ~_OWN_BITS
@@ -236,8 +257,8 @@ def ties(found: list[Block], strength: float) -> dict[tuple[int, int], float]:
 
     for i, b in enumerate(found):
         if i:
-            tie(i - 1, i, (2 / max(2, dom_distance(found[i - 1].path, b.path))) ** 2)
-        parent = b.path[:-1]
+            tie(i - 1, i, (2 / max(2, dom_distance(found[i - 1].place, b.place))) ** 2)
+        parent = id(b.place.parent)
         j = last.get(parent)
         if j is not None:
             tie(j, i, 1.0)
