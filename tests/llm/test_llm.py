@@ -725,6 +725,17 @@ def test_html_pages():
     assert text(long) == text(long)
 
 
+def test_html_any_markup():
+    """Broken, unclosed and very deep markup ends soon and never fails; what is left has no runs of white space."""
+    bits = ["<p>", "</p>", "<div class=content>", "</div>", '<a href="x">', "</a>", "<br/>", "<script>", "</script>", "<!--", "-->", "<![CDATA[", "]]>", "text here. ", "\u00e9 ", "&amp;", "&#x41;", "&bogus", "<", ">", '"', "'", "=", "<ul><li>", "</ul>", "<article>", "</article>", "<head>", "</head>", "<title>", "<svg/>", "<svg>", "<table><td>", "<h1 hidden>", "\x00", "<nav>", "<template>", "<p", '<p title="', "</", "<!doctype html>", "\n\t "]
+    rng, model = random.Random(1), html_extract.train()
+    for _ in range(500):
+        got = model.text("".join(rng.choice(bits) for _ in range(rng.randint(0, 120))))
+        assert got == " ".join(got.split())
+    for big in ("<div>" * 50_000 + "x", "<div>" * 50_000 + "</b></i>" * 50_000, "<b>" * 50_000 + "<div>x</div>" * 1000, "<p>word " * 20_000, "<" * 100_000, "&" * 100_000, '<a href="' + "x" * 500_000):
+        assert isinstance(model.text(big), str)
+
+
 def test_flow_on_long_chains():
     rng = random.Random(3)
     n = 4000
