@@ -181,11 +181,7 @@ class ToxicityModel:
 
     def _ready(self):
         self.auto = LexiconAutomaton(self.terms)
-        starts = set()
-        for t in self.terms:  # two first letters that can begin a match with one edit at most
-            starts.add(t[:2])
-        self.exact2 = starts
-        self.letters = {c for t in self.terms for c in t[:3]}
+        self.letters = {c for t in self.terms for c in t[:3]}  # one of a word's first two, if an edit at most lies before them
 
     def state(self) -> tuple:
         """Plain values to broadcast; ToxicityModel(*state) is the model again."""
