@@ -24,7 +24,7 @@ import functools
 import html as htmllib
 import random
 import re
-from collections import Counter, deque
+from collections import defaultdict, deque
 
 import numpy as np
 import pandas as pd
@@ -49,6 +49,8 @@ RAW = frozenset("script style textarea title noscript iframe template".split())
 #: Elements that may stand in a page's head; any other one, or text, ends it.
 HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that end where the next of their kind begins.
+LISTED = frozenset("li dt dd tr td th option".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Groups of words in class, id and role.
 MARKS = {
@@ -113,11 +115,12 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     # open elements: name, feature bits, innermost block element, skipped, inside a link
     stack: list[tuple] = [("", 0, Place(None), False, False)]
-    is_open: Counter = Counter()
+    is_open: dict[str, int] = defaultdict(int)
     at, cur = 0, None
 
     def close(i: int):
-        is_open.subtract(x[0] for x in stack[i:])
+        for x in stack[i:]:
+            is_open[x[0]] -= 1
         del stack[i:]
 
     def end_head():
@@ -177,8 +180,8 @@ def blocks_of(page: str) -> list[Block]:
         if name not in INLINE:
             cur = None
             # an unclosed paragraph or item ends where the next block begins
-            ends = {"p", name} if name in ("li", "dt", "dd", "tr", "td", "th", "option") else {"p"}
-            for i in range(len(stack) - 1, 0, -1) if any(is_open[x] for x in ends) else ():
+            ends = ("p", name) if name in LISTED else ("p",)
+            for i in range(len(stack) - 1, 0, -1) if is_open["p"] or is_open[ends[-1]] else ():
                 if stack[i][0] in ends:
                     close(i)
                     break
